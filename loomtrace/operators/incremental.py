@@ -23,7 +23,7 @@ def changed_places(current: Column, done: Column) -> Column:
     done = F.coalesce(done, F.array().cast("array<string>"))
 
     def differs(h: Column, i: Column) -> Column:
-        return F.when(is_durable(h) & F.coalesce(F.get(done, i) == h, F.lit(False)), None).otherwise(i)
+        return F.when(is_durable(h) & F.coalesce(F.get(done, i) == h, F.lit(False)), None).otherwise(i.cast("int"))
 
     return F.array_compact(F.transform(F.coalesce(current, F.array().cast("array<string>")), differs))
 
@@ -46,7 +46,7 @@ def pending_entries(observations: DataFrame, runs: DataFrame) -> DataFrame:
         F.max(F.when(~F.col("now"), F.struct("run_id", F.col("o.entry_hashes").alias("hashes")))).alias("done"),
     )
     places = changed_places(F.col("current.hashes"), F.col("done.hashes"))
-    return per.filter("current IS NOT NULL").select("file_path", F.explode(places).cast("int").alias("entry_no"))
+    return per.filter("current IS NOT NULL").select("file_path", F.explode(places).alias("entry_no"))
 
 
 class Manifest:
