@@ -26,8 +26,8 @@ STATES = pa.array(["free", "cycle", "to_cycle"])
 SCHEMA = "k string, v string, p string, dead boolean, root string, depth long, state string"
 
 
-def _codes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Own code of each row's (k, v) and the row of its (k, p): -1 without parent, -2 where it isn't there."""
+def parent_rows(t: pa.Table) -> np.ndarray:
+    """The row of the parent p of each row among the rows of its group k: -1 without parent, -2 where it isn't there."""
     n = t.num_rows
     gid = np.zeros(n, np.int64)
     gid[group_starts(t, ["k"])] = 1
@@ -44,11 +44,11 @@ def _codes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     row = order[at] if n else at
     found = (pc_ >= 0) & (own[row] == want) if n else np.zeros(0, bool)
     null = p.is_null().to_numpy(zero_copy_only=False)
-    return own, np.where(null, -1, np.where(found, row, -2))
+    return np.where(null, -1, np.where(found, row, -2))
 
 
 def _solve(t: pa.Table) -> pa.Table:
-    _, par = _codes(t)
+    par = parent_rows(t)
     w = t.column("w").to_numpy().astype(np.int64) if "w" in t.column_names else None
     c = contract(np.where(par >= 0, par, -1), w)
     v = t.column("v").combine_chunks()
@@ -164,7 +164,7 @@ def link_states(h: DataFrame) -> DataFrame:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, ["k"], 50_000):
-        _, par = _codes(t)
+        par = parent_rows(t)
         c = contract(np.where(par >= 0, par, -1))
         at = np.flatnonzero(c.state == FREE)
         up, far = at.copy(), 0
