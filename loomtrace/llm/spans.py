@@ -17,17 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import text_batches
+from .rolling import gathered, window_hashes
 
-#: Bytes of text whose hashes a task combines before it sends them.
-BLOCK_BYTES = 4_000_000
-#: Characters over which powers are tabulated.
-_TABLE = 1 << 20
 #: Bytes of hashes that a bucket should hold about, and how many come from a byte of table at most.
 _BUCKET_BYTES, _BYTES_PER_BYTE = 24_000_000, 4
 #: Entries that a bucket gathers before it combines them.
 _GATHER = 1_000_000
-_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=8)
@@ -61,39 +56,6 @@ def plan(length: int) -> tuple[int, int, tuple[int, ...]]:
     return length - period + 1, period, difference_set(best)
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        a = np.full(2 * _TABLE, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
-
-
-def window_hashes(points: np.ndarray, starts: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """Hashes (64 bits) of points[s : s + width] for ascending starts; equal windows have equal hashes anywhere."""
-    if width >= _TABLE:
-        raise ValueError(f"windows of {width} characters are too wide")
-    power, inverse = _powers()
-    out = np.empty(len(starts), np.uint64)
-    for lo in range(0, len(points), _TABLE):
-        i, j = np.searchsorted(starts, (lo, lo + _TABLE))
-        if i == j:
-            continue
-        part = points[lo : int(starts[j - 1]) + width].astype(np.uint64) + np.uint64(salt + 1)
-        part *= np.uint64(0xBF58476D1CE4E5B9)
-        part ^= part >> np.uint64(29)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * power[: len(part)], out=total[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (total[s + width] - total[s]) * inverse[s]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x94D049BB133111EB)
-    out ^= out >> np.uint64(30)
-    return out
-
-
 NEW, KNOWN, MARKED = 0, 1, 2
 
 
@@ -180,7 +142,7 @@ def _anchors(length: int, buckets: int):
     width = plan(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _gathered(batches):
+        for whole in gathered(batches):
             texts, places, docs, base = [], [], [], 0
             for _, p, doc in _points(whole):
                 at = _anchor_places(len(p), length)
@@ -196,25 +158,11 @@ def _anchors(length: int, buckets: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about BLOCK_BYTES of text, whatever sizes come in."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in (x for whole in batches for x in text_batches(iter([whole]), "text", BLOCK_BYTES)):
-        held.append(b)
-        size += b.nbytes
-        if size >= BLOCK_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _windows(length: int, buckets: int):
     width = plan(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _gathered(batches):
+        for whole in gathered(batches):
             marks = whole.column("marks")
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, p, doc in _points(whole):
