@@ -83,13 +83,9 @@ def parse_query(text: str) -> Query:
 
 
 def frequency(tokens_: Column, sequence: tuple[str, ...]) -> Column:
-    """At how many places of the tokens the sequence begins."""
-    if len(sequence) == 1:
-        return F.size(F.filter(tokens_, lambda t: t == sequence[0]))
-    k = len(sequence)
-    want = F.array(*[F.lit(s) for s in sequence])
-    places = F.filter(F.sequence(F.lit(1), F.size(tokens_) - (k - 1)), lambda i: F.slice(tokens_, i, k) == want)
-    return F.when(F.size(tokens_) >= k, F.size(places)).otherwise(0)
+    """At how many places of the tokens the sequence begins; places may overlap."""
+    text = F.concat(F.lit(" "), F.array_join(tokens_, " "), F.lit(" "))
+    return F.regexp_count(text, F.lit("(?=\\Q " + " ".join(sequence) + " \\E)"))
 
 
 def frequency_sql(tokens_: str, sequence: tuple[str, ...]) -> str:

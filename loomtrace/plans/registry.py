@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import p2, p3, p5, p6
+from . import p2, p3, p5, p6, search, text, tree
 
-_MODULES = (p2, p3, p5, p6)
+_MODULES = (search, text, tree, p2, p3, p5, p6)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
