@@ -78,8 +78,8 @@ def window(c: Column | str, offset: int, size: Column | int) -> Column:
     t = _c(c)
     n = F.char_length(t)
     w = F.lit(max(0, size)) if isinstance(size, int) else size
-    start = F.least(F.lit(max(0, offset)), n)
-    end = F.least(n, start + w)
+    start = F.when(n.isNotNull(), F.least(F.lit(max(0, offset)), n))  # least() passes over nulls
+    end = F.when(n.isNotNull(), F.least(n, start + w))
     return F.struct(
         F.substring(t, start + 1, end - start).alias("text"),
         n.cast("long").alias("total"),

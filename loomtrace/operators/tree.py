@@ -140,11 +140,14 @@ def children(events: DataFrame) -> DataFrame:
     return events.filter("parent_id IS NOT NULL").select("session_id", "parent_id", "entry_id", ranked.cast("long").alias("place"))
 
 
-def siblings(events: DataFrame, targets: DataFrame) -> DataFrame:
-    """session_id, entry_id, sibling_id: other children of each target's parent; entries without parent have none."""
-    t = targets.select("session_id", "entry_id", "parent_id")
-    other = events.select("session_id", "parent_id", F.col("entry_id").alias("sibling_id"))
-    return t.join(other, ["session_id", "parent_id"]).filter("sibling_id <> entry_id").select("session_id", "entry_id", "sibling_id")
+def siblings(events: DataFrame, limit: int = 50) -> DataFrame:
+    """session_id, entry_id, sibling_id, n_siblings: up to limit other children of each entry's parent, the first in
+    log order, and how many there are. Entries without parent or without siblings have no rows."""
+    c = children(events)
+    n = c.groupBy("session_id", "parent_id").agg(F.count("*").alias("n"))
+    other = c.filter(F.col("place") <= limit).select("session_id", "parent_id", F.col("entry_id").alias("sibling_id"), F.col("place").alias("at"))
+    pairs = c.join(other, ["session_id", "parent_id"]).filter((F.col("entry_id") != F.col("sibling_id")) & (F.col("at") < limit + (F.col("place") < limit).cast("int")))
+    return pairs.join(n, ["session_id", "parent_id"]).select("session_id", "entry_id", "sibling_id", (F.col("n") - 1).alias("n_siblings"))
 
 
 def forks(events: DataFrame) -> DataFrame:

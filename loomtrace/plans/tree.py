@@ -41,14 +41,9 @@ def tree_children(spark: SparkSession, folder: str) -> DataFrame:
     return tree.children(store(spark, folder).entries)
 
 
-def _leaves(e: DataFrame) -> DataFrame:
-    return e.groupBy("session_id").agg(F.max_by(F.struct("entry_id", "parent_id"), "append_seq").alias("x")).select("session_id", "x.*")
-
-
 def branch_siblings(spark: SparkSession, folder: str) -> DataFrame:
-    """Siblings of the last entry of every session."""
-    e = store(spark, folder).entries
-    return tree.siblings(e, _leaves(e))
+    """Up to fifty siblings of every entry, and how many it has."""
+    return tree.siblings(store(spark, folder).entries)
 
 
 def in_session_forks(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +70,11 @@ SQL = {
     "branch_descendants": f"WITH RECURSIVE {STORE}, {STATES}, " + _STEPS.format(source="ev", link="next_id"),
     "append_neighbors": f"WITH {STORE} SELECT a.session_id, a.entry_id, b.entry_id AS neighbor_id, b.append_seq - a.append_seq AS distance FROM e a JOIN e b ON b.session_id = a.session_id AND b.append_seq BETWEEN a.append_seq - 2 AND a.append_seq + 3 AND b.append_seq <> a.append_seq",
     "tree_children": f"WITH {STORE} SELECT session_id, parent_id, entry_id, row_number() OVER (PARTITION BY session_id, parent_id ORDER BY append_seq) - 1 AS place FROM e WHERE parent_id IS NOT NULL",
-    "branch_siblings": f"WITH {STORE}, l AS (SELECT session_id, arg_max(entry_id, append_seq) AS entry_id FROM e GROUP BY 1) SELECT a.session_id, a.entry_id, b.entry_id AS sibling_id FROM l JOIN e a ON a.session_id = l.session_id AND a.entry_id = l.entry_id JOIN e b ON b.session_id = a.session_id AND b.parent_id = a.parent_id AND b.entry_id <> a.entry_id",
+    "branch_siblings": f"""
+WITH {STORE}, c AS (SELECT *, row_number() OVER (PARTITION BY session_id, parent_id ORDER BY append_seq) - 1 AS place, count(*) OVER (PARTITION BY session_id, parent_id) AS n FROM e WHERE parent_id IS NOT NULL),
+x AS (SELECT a.session_id, a.entry_id, b.entry_id AS sibling_id, a.n - 1 AS n_siblings, row_number() OVER (PARTITION BY a.session_id, a.entry_id ORDER BY b.place) AS rn
+  FROM c a JOIN c b ON b.session_id = a.session_id AND b.parent_id = a.parent_id AND b.entry_id <> a.entry_id)
+SELECT session_id, entry_id, sibling_id, n_siblings FROM x WHERE rn <= 50""",
     "in_session_forks": f"WITH RECURSIVE {STORE}, {STATES} SELECT a.session_id, a.entry_id AS at_entry, b.entry_id AS candidate_id, coalesce(a.branch_state = 'selected' AND b.entry_id = a.next_id, false) AS chosen FROM ev a JOIN ev b ON b.session_id = a.session_id AND b.parent_id = a.entry_id WHERE a.n_children > 1",
     "session_name": rf"WITH {STORE} SELECT session_id, arg_min(name, (append_seq, frag_ord)) AS session_name FROM (SELECT f.session_id, append_seq, frag_ord, trim(regexp_replace(frag_text, '\s+', ' ', 'g')) AS name FROM f JOIN e ON e.session_id = f.session_id AND e.entry_id = f.entry_id WHERE semantic_kind = 'session.name') WHERE name <> '' GROUP BY 1",
 }
