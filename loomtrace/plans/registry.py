@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import p2, p3, p5, p6, relations, search, text, tree
+from . import maintain, p2, p3, p5, p6, relations, search, sources, text, tree
 
-_MODULES = (search, text, tree, relations, p2, p3, p5, p6)
+_MODULES = (search, text, tree, relations, sources, maintain, p2, p3, p5, p6)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
