@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtrace_shipped", False):
+        return
+    here = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="loomtrace-")) / "loomtrace.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._loomtrace_shipped = True
