@@ -84,8 +84,15 @@ def _rounds(nodes: DataFrame, max_local: int) -> DataFrame:
     )
     alive = linked.filter(F.col("p").isNotNull() & ~F.col("dead")).select("k", "v", "p", "w")
     log: list[tuple[DataFrame, bool]] = []
+    cores: list[DataFrame] = []  # what compression has made its own parent: one node of each circle
     turn = 0
-    while alive.count() > max_local:
+    while True:
+        own = alive.filter("v = p").select("k", "v")
+        if not own.isEmpty():
+            cores.append(own)
+            alive = alive.filter("v <> p")
+        if alive.count() <= max_local:
+            break
         turn += 1
         used = alive.groupBy("k", F.col("p").alias("v")).agg(F.count("*").alias("n"), F.min("v").alias("child"))
         seen = checkpointed(alive.join(used, ["k", "v"], "left"))
@@ -93,7 +100,7 @@ def _rounds(nodes: DataFrame, max_local: int) -> DataFrame:
         log.append((seen.filter(leaf).select("k", "v", "p", "w"), False))
         alive = seen.filter(~leaf).select("k", "v", "p", "w")
         used = alive.groupBy("k", F.col("p").alias("v")).agg(F.count("*").alias("n"), F.min("v").alias("child"))
-        pick = (F.col("n") == 1) & (F.col("v") != F.col("p")) & _coin("v", turn) & ~_coin("p", turn)
+        pick = (F.col("n") == 1) & _coin("v", turn) & ~_coin("p", turn)
         seen = checkpointed(alive.join(used, ["k", "v"], "left").withColumn("out", F.coalesce(pick, F.lit(False))))
         out = seen.filter("out").select("k", "v", "p", "w", "child")
         log.append((out, True))
@@ -104,13 +111,16 @@ def _rounds(nodes: DataFrame, max_local: int) -> DataFrame:
             .select("k", "v", F.coalesce("np", "p").alias("p"), (F.col("w") + F.coalesce("nw", F.lit(0))).alias("w"))
         )
     tops = linked.filter(F.col("p").isNull() | F.col("dead")).select("k", "v")
-    rest = alive.unionByName(tops.join(alive.select("k", F.col("p").alias("v")), ["k", "v"], "left_semi").select("k", "v", F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("w")))
-    core = rest.coalesce(1).sortWithinPartitions("k").mapInArrow(_local, SCHEMA).select("k", "v", "root", "depth", "state")
-    done = checkpointed(
-        core.unionByName(
-            tops.join(core.select("k", "v"), ["k", "v"], "left_anti").select("k", "v", F.col("v").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit("free").alias("state"))
-        )
-    )
+    ends = tops.withColumn("p", F.lit(None).cast("string"))
+    for own in cores:
+        ends = ends.unionByName(own.withColumn("p", F.col("v")))
+    ends = checkpointed(ends)
+    met = alive.select("k", F.col("p").alias("v")).distinct()
+    rest = alive.unionByName(ends.join(met, ["k", "v"], "left_semi").withColumn("w", F.lit(0).cast("long")))
+    solved = rest.coalesce(1).sortWithinPartitions("k").mapInArrow(_local, SCHEMA).select("k", "v", "root", "depth", "state")
+    circle = F.col("p").isNotNull()
+    other = ends.join(met, ["k", "v"], "left_anti").select("k", "v", F.col("v").alias("root"), F.when(~circle, F.lit(0).cast("long")).alias("depth"), F.when(circle, "cycle").otherwise("free").alias("state"))
+    done = checkpointed(solved.unionByName(other))
     for part, chain in reversed(log):
         up = done.select("k", F.col("v").alias("p"), F.col("root"), F.col("depth").alias("pd"), F.col("state").alias("ps"))
         got = part.join(up, ["k", "p"])

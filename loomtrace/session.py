@@ -41,9 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut by a reliable checkpoint, which survives lost executors.
+
+    The result forgets the planner's estimate of df: in iterations that join a table with itself such estimates
+    multiply from round to round without bound. Adaptive execution goes by the sizes it meets.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def ship(spark: SparkSession) -> None:
