@@ -152,7 +152,7 @@ def refresh(spark: SparkSession, roots: list[str], known: DataFrame | None = Non
 def _lines_of(spark: SparkSession, files: list[str]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], "file_path string, line_no int, raw_text string")
-    df = spark.read.option("wholetext", True).text(files)
+    df = spark.read.text(files, wholetext=True)
     df = df.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw_text"))
     return df.select("file_path", (F.col("i") + 1).alias("line_no"), "raw_text")
 

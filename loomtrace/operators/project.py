@@ -236,7 +236,8 @@ def recorded_links(entries: DataFrame) -> DataFrame:
     v = F.col("v")
     kind = F.col("entry_type")
     main = F.when(kind == "compaction", F.coalesce(string_at(v, "compactedUpToId"), string_at(v, "firstKeptEntryId"), string_at(v, "fromId"))).when(kind == "branch_summary", string_at(v, "fromId")).when(kind == "label", string_at(v, "targetId"))
-    kept = F.from_json(F.when(kind == "compaction", F.to_json(F.try_variant_get(v, "$.retainedIds", "variant"))), "array<string>")
+    kept = F.filter(F.when(kind == "compaction", F.try_variant_get(v, "$.retainedIds", "array<variant>")), lambda x: F.schema_of_variant(x) == "STRING")
+    kept = F.transform(kept, lambda x: F.try_variant_get(x, "$", "string"))
     targets = F.array_compact(F.concat(F.array(main), F.coalesce(kept, F.array().cast("array<string>"))))
     type_ = F.when(kind == "compaction", COMPACTS).when(kind == "branch_summary", BRANCH_SUMMARY_FROM).otherwise(LABELS)
     e = entries.filter(kind.isin("compaction", "branch_summary", "label")).select("session_id", F.col("entry_id").alias("source_id"), type_.alias("type"), "append_seq", F.posexplode(targets).alias("pos", "target_id"))

@@ -63,7 +63,7 @@ def _path(c: Column) -> Column:
 
 def read_lines(spark: SparkSession, roots: Iterable[str], extensions: Iterable[str] = EXTENSIONS) -> DataFrame:
     """file_path, line_no (from 1), raw_text of every line below the roots; a file is read whole to keep its order."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", _glob(extensions)).text(list(roots))
+    df = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=_glob(extensions))
     df = df.select(_path(F.col("_metadata.file_path")).alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw_text"))
     return df.select("file_path", (F.col("i") + 1).alias("line_no"), "raw_text")
 

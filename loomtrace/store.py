@@ -89,6 +89,8 @@ def session_names(store: Store) -> DataFrame:
 
 
 def cached(store: Store) -> Store:
-    """The store with its events written to the shared checkpoint folder."""
-    store._events = checkpointed(store.events)
-    return store
+    """The store with all its tables written to the shared checkpoint folder, for many small reads."""
+    tables = {n: None if getattr(store, n) is None else checkpointed(getattr(store, n)) for n in ("sessions", "entries", "fragments", "links", "hashes")}
+    out = Store(**tables)
+    out._events = checkpointed(out.events)
+    return out

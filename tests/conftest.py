@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     from loomtrace.session import SETTINGS, ship
 
-    b = SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
+    b = SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "4g")
     b = b.config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
     for k, v in SETTINGS.items():
         b = b.config(k, v)

@@ -37,7 +37,8 @@ def test_refresh(spark, tmp_path):
     assert [x.error for x in r.errors.collect()] == ["invalid JSON"] and not r.coverage.limited
     from loomtrace.sources.jsonl import listing, source_info
 
-    known = source_info(r.parsed).join(listing(spark, [str(root)]), "file_path").persist()
+    known = source_info(r.parsed).join(listing(spark, [str(root)]), "file_path")
+    known = spark.createDataFrame(known.collect(), known.schema)
     write(root / "a.jsonl", "a", "/ws", 4, 400)
     (root / "deep/b.JSONL").unlink()
     again = maintain.refresh(spark, [str(root)], known, "/ws")
