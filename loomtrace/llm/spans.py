@@ -244,10 +244,12 @@ def _cover(length: int):
 
 
 def _buckets(df: DataFrame) -> int:
-    """From the planner's estimate of the input, so that a bucket stays small at any size."""
+    """From the planner's estimate of the input, so that a bucket stays small at any size; where the planner knows no
+    size, from the number of partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(size, 1 << 50) * _BYTES_PER_BYTE // _BUCKET_BYTES
-    return int(min(max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = size * _BYTES_PER_BYTE // _BUCKET_BYTES if size < 1 << 55 else 4 * df._jdf.rdd().getNumPartitions()
+    return int(min(max(wanted, least), 1 << 20))
 
 
 def shared_starts(df: DataFrame, id_column: str, text_column: str, length: int) -> DataFrame:
