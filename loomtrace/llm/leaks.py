@@ -33,6 +33,8 @@ EQUAL, GRID = 0.9995, 3
 BLOCK_ITEMS = 20_000
 _BATCH = 2_000_000
 _ROWS = 1_024
+#: Hashed words by which most candidates are told apart from a passage before the longest common subsequence is sought.
+_MARKS = 1_024
 
 
 @lru_cache(maxsize=2)
@@ -51,12 +53,18 @@ class Space:
     vectors: np.ndarray
     documents: int
 
-    def embed(self, h: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-        """Unit vectors of the windows of width words at starts; NaN where a window has no direction."""
+    def embed(self, h: np.ndarray, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
+        """Unit vectors of the windows of width words at starts; NaN where a window has no direction. A width of its
+        own for each start is allowed."""
         v = np.zeros((len(starts), self.vectors.shape[1]), np.float32)
         f = _features(h)
-        for i in range(width):
+        width = np.broadcast_to(np.asarray(width, np.int64), np.shape(starts))
+        least = int(width.min(initial=np.max(width, initial=0)))
+        for i in range(least):
             v += self.vectors[f[starts + i]]
+        for i in range(least, int(np.max(width, initial=0))):
+            more = np.flatnonzero(width > i)
+            v[more] += self.vectors[f[starts[more] + i]]
         with np.errstate(invalid="ignore", divide="ignore"):
             return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -250,10 +258,11 @@ def leaked_runs(docs: DataFrame, items: DataFrame, length: int = 12, space: Spac
 def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = 0.85, share: float = 0.7, space: Space | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, holds_answer of documents that hold a passage whole, in part or reshaped.
 
-    Each window of a document about as long as the passage (at half its length) is compared in the latent space;
-    of those with at least the cosine, those whose longest common subsequence with the passage covers at least the
-    share of the passage's words count. One row per pair, with its best window (by share, then cosine). holds_answer: the words of the answer stand in the
-    document one after another. Handling of nulls and repetitions as in leaked_runs.
+    Each window of a document about as long as the passage (at half its length, and one that ends with the document;
+    a shorter document is one window) is compared in the latent space; of those with at least the cosine, those whose
+    longest common subsequence with the passage covers at least the share of the passage's words count. One row per
+    pair, with its best window (by share, then cosine). holds_answer: the words of the answer stand in the document one
+    after another. Handling of nulls and repetitions as in leaked_runs.
     """
     space = space or fit(docs)
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
@@ -271,19 +280,26 @@ def paraphrases(docs: DataFrame, items: DataFrame, cosine: float = 0.85, share:
                 best: dict[tuple[int, int], tuple[float, float]] = {}
                 for width in sorted({max(4, int(s) // 4 * 4) for s in sizes if s}):
                     own = np.flatnonzero((np.maximum(4, sizes // 4 * 4) == width) & (sizes > 0))
-                    count = np.maximum(0, (n - width) // (width // 2) + 1) * (n >= width)
+                    last = np.maximum(0, n - width)
+                    count = (-(-last // (width // 2)) + 1) * (n > 0)
                     doc = np.repeat(np.arange(len(n)), count)
-                    start = at[doc] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * (width // 2)
+                    start = at[doc] + np.minimum((np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * (width // 2), last[doc])
+                    long = np.minimum(n, width)[doc]
                     q = np.stack([space.vectors[_features(h_all[at_all[i] : at_all[i + 1]])].sum(axis=0) for i in own])
                     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+                    longest = int(sizes[own].max())
+                    marks = np.zeros((len(own), _MARKS), bool)
+                    for j, i in enumerate(own):
+                        marks[j, (h_all[at_all[i] : at_all[i + 1]] >> np.uint64(1)).astype(np.int64) % _MARKS] = True
                     for lo in range(0, len(start), 20_000):
-                        v = space.embed(h, start[lo : lo + 20_000], width)
+                        v = space.embed(h, start[lo : lo + 20_000], long[lo : lo + 20_000])
                         cos = np.nan_to_num(v @ q.T)
                         a, k = np.nonzero(cos >= cosine)
                         if not len(a):
                             continue
-                        longest = int(sizes[own].max())
-                        x = _matrix(h, at[doc[lo + a]], at[doc[lo + a] + 1], start[lo + a] - width // 4, width + width // 2)
+                        x = _matrix(h, at[doc[lo + a]], at[doc[lo + a] + 1], start[lo + a] - width // 4, longest + width // 2)
+                        enough = ((marks[k[:, None], x % _MARKS] & (x >= 0)).sum(axis=1) / sizes[own[k]]) >= share  # no subsequence is longer
+                        x, a, k = x[enough], a[enough], k[enough]
                         y = _matrix(h_all, at_all[own[k]], at_all[own[k] + 1], at_all[own[k]], longest)
                         part = longest_common_subsequence(x, y) / sizes[own[k]]
                         for j in np.flatnonzero(part >= share):

@@ -203,6 +203,20 @@ def test_paraphrase(spark):
     assert [(r.doc_id, r.item_id, r.holds_answer) for r in out] == [(1, 7, True)]
 
 
+def test_paraphrase_at_the_end_and_in_short_documents(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(400)]
+    p = [f"p{i}" for i in range(24)]
+    less = [w for i, w in enumerate(p) if i % 6 != 3]
+    moved = [*less[:4], less[5], less[4], *less[6:]]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(80))) for i in range(40)]
+    docs += [(100, " ".join(less)), (101, " ".join(vocab[:51] + moved)), (102, " ".join(moved + vocab[:51])), (103, "p0"), (104, ""), (105, " ".join(p))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(7, " ".join(p), "p4 p5")], "item_id long, passage string, answer string")
+    got = {r.doc_id: round(r.lcs_share * 24) for r in leaks.paraphrases(df, q).collect()}
+    assert got == {100: 20, 101: 19, 102: 19, 105: 24}
+
+
 # 10: shared spans
 
 
