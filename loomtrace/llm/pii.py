@@ -3,8 +3,9 @@
 Detection runs over Arrow batches. One linear-time pass (RE2) picks the texts that can hold anything; only these are
 searched entity by entity. Replacement is keyed: a placeholder bears a tag of the entity, a surrogate is the image of
 the entity under a keyed permutation of all strings of its format (consonants stay consonants, vowels vowels, digits
-digits, case and separators stand). Equal entities so get equal replacements everywhere; distinct ones of a format get
-distinct surrogates by construction, and tags are checked for collisions.
+digits, other letters in their alphabet, case and separators stand; so do words of the format, such as Street, but only
+at their place in an address or a mail domain). Equal entities so get equal replacements everywhere; distinct ones of a
+format get distinct surrogates by construction, and tags and surrogates are checked for collisions.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,13 +74,14 @@ IDNUM = re.compile(
     r"|passport(?: no\.?| number)?|(?:personal)?ausweis(?:nummer)?|dni|nie|id (?:card|number)))"
     r"[\s:#=\"'\\.]{1,8}(?P<v>(?:[A-Z]{1,3}[ -]?)?\d(?:[ -]?[A-Z0-9]){5,13})(?![A-Za-z0-9])"
 )
+#: Its groups are the words of the format; all else tells one address from another.
 ADDRESS = re.compile(
-    rf"(?<![\w.])(?:(?:Flat|Apt\.?|Unit) \w+, )?\d{{1,5}}[a-z]?,? (?:[NSEW]\. )?{_CAP}(?: {_CAP})? (?:{STREETS})\b\.?(?:, (?:Apt|Flat|Unit)\.? \w+)?(?:,? ?\n?{_TOWN}(?: [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}| \d{{4,5}})?)?"
-    rf"|\bP\.? ?O\.? ?Box \d+(?:, {_TOWN})?"
-    rf"|\b(?:Postfach|Apartado) \d+(?:, {_TOWN})?"
-    rf"|(?<!\w)[{_UP}][{_LOW}]+(?:{SUFFIXES}) \d+ ?[a-z]?(?!\w)(?:, (?:\d{{4,5}} )?{_TOWN})?"
-    rf"|(?<![\w.])\d{{1,4}}(?: bis| ter)?,? (?:{FRENCH}) (?:de la |des |du |de |d'|l')?{_CAP}(?:, (?:\d{{5}} )?{_TOWN})?"
-    rf"|\b(?:Calle|Avenida|Plaza|Paseo) (?:de (?:la |los )?)?{_CAP},? \d+(?:, \d+º ?[A-Z]?)?(?:, (?:\d{{5}} )?{_TOWN})?"
+    rf"(?<![\w.])(?:(Flat|Apt\.?|Unit) \w+, )?\d{{1,5}}[a-z]?,? (?:([NSEW])\. )?{_CAP}(?: {_CAP})? ({STREETS})\b\.?(?:, (Apt|Flat|Unit)\.? \w+)?(?:,? ?\n?{_TOWN}(?: [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}| \d{{4,5}})?)?"
+    rf"|\b(P\.? ?O\.? ?Box) \d+(?:, {_TOWN})?"
+    rf"|\b(Postfach|Apartado) \d+(?:, {_TOWN})?"
+    rf"|(?<!\w)[{_UP}][{_LOW}]+({SUFFIXES}) \d+ ?[a-z]?(?!\w)(?:, (?:\d{{4,5}} )?{_TOWN})?"
+    rf"|(?<![\w.])\d{{1,4}}( bis| ter)?,? ({FRENCH}) (de la |des |du |de |d'|l')?{_CAP}(?:, (?:\d{{5}} )?{_TOWN})?"
+    rf"|\b(Calle|Avenida|Plaza|Paseo) (de (?:la |los )?)?{_CAP},? \d+(?:, \d+(º) ?[A-Z]?)?(?:, (?:\d{{5}} )?{_TOWN})?"
 )
 NAME = re.compile(
     rf"\b(?:{LABELS}): ?(?P<a>{_PAIR}|[{_UP}]\. (?:{_CAP}|{_CAPS})(?![\w@]))"
@@ -181,7 +185,31 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     return f"[{kind.upper()}:{int.from_bytes(tag[:8], 'big') >> 4:015x}]"
 
 
-_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz")
+_CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çðñþ", "ßÿ")
+
+
+def _paired(low: str) -> bool:
+    """Whether the letter has one capital, which stands in the same block of 256 characters."""
+    up = low.upper()
+    return len(up) == 1 and up != low and up.lower() == low and ord(up) >> 8 == ord(low) >> 8
+
+
+@lru_cache(maxsize=4_096)
+def _block(block: int, category: str, paired: bool) -> str:
+    block <<= 8
+    return "".join(c for c in map(chr, range(max(block, 0x80), block + 256)) if c.isalnum() and unicodedata.category(c) == category and _paired(c) == paired and _small(c) == c and not any(c in x for x in _CLASSES))
+
+
+@lru_cache(maxsize=65_536)
+def _small(ch: str) -> str:
+    low = ch.lower()
+    return low if len(low) == 1 and low.upper() == ch and _paired(low) else ch
+
+
+@lru_cache(maxsize=65_536)
+def _class_of(small: str) -> str:
+    """The characters that may stand in place of a letter or digit."""
+    return next((c for c in _CLASSES if small in c), None) or _block(ord(small) >> 8, unicodedata.category(small), _paired(small))
 
 
 def _permute(n: int, size: int, key: bytes) -> int:
@@ -199,38 +227,65 @@ def _permute(n: int, size: int, key: bytes) -> int:
 
 
 def _surrogate_token(token: str, key: bytes) -> str:
-    low = token.lower()
-    if len(low) != len(token):
-        low = token
-    classes = [next((c for c in _CLASSES if ch in c), None) for ch in low]
+    low = [_small(ch) for ch in token]
+    classes = [_class_of(ch) for ch in low]
     size, n = 1, 0
     for ch, c in zip(low, classes):
-        if c:
-            n, size = n * len(c) + c.index(ch), size * len(c)
+        n, size = n * len(c) + c.index(ch), size * len(c)
     if size == 1:
         return token
-    n = _permute(n, size, key + ("".join("-" if c is None else str(_CLASSES.index(c)) for c in classes)).encode())
+    n = _permute(n, size, key + "".join(str(_CLASSES.index(c)) if c in _CLASSES else c[0] for c in classes).encode())
     out = []
     for ch, c, old in zip(reversed(low), reversed(classes), reversed(token)):
-        if c is None:
-            out.append(old)
-            continue
         n, r = divmod(n, len(c))
         out.append(c[r].upper() if old != ch else c[r])
     return "".join(reversed(out))
 
 
-#: Pieces of entities that carry format, not identity.
-_KEPT = frozenset("at dot example test invalid com org net mail dev ext flat apt box rue de calle street road lane ave blvd po o p n".split())
+#: Whole labels of mail domains that carry format, not identity.
+_LABELS = frozenset("example test invalid com org net mail dev".split())
+_MAIL = re.compile(r"(?P<local>[\w.+-]+)(?P<at>\s?@\s?| ?[\[(]at[\])] ?| at )(?P<domain>.+)")
+_DOT = re.compile(r"\.| ?[\[(]dot[\])] ?| dot ")
+
+
+def _format(kind: str, value: str) -> list[tuple[int, int]] | None:
+    """Places of the words of the format in an address or a mail address; None if it is none."""
+    if kind == "address":
+        m = ADDRESS.fullmatch(value)
+        return m and [x for x in m.regs[1:] if x[0] >= 0]
+    if kind == "email":
+        m = _MAIL.fullmatch(value)
+        if not m:
+            return None
+        out, at = [m.span("at")], m.start("domain")
+        for d in [*(x.span() for x in _DOT.finditer(value, at)), (len(value), len(value))]:
+            if value[at : d[0]].lower() in _LABELS:
+                out.append((at, d[0]))
+            out.append(d)
+            at = d[1]
+        return out
+    return []
 
 
 def surrogate(kind: str, value: str, key: bytes) -> str:
-    """Another value of the same format: each word and each number goes its own keyed way, whatever its case."""
+    """Another value of the same format: each word and each number goes its own keyed way, whatever its case.
+
+    Where an image has words of the format at other places than the value, it is sent on the same way again. So the
+    images of values with different format words stay apart, and the way stays a permutation.
+    """
     if kind in ("phone", "id_number"):
         digits = "".join(re.findall(r"[A-Za-z0-9]", value))
         new = iter(_surrogate_token(digits, key + kind.encode()))
         return "".join(next(new) if re.match(r"[A-Za-z0-9]", ch) else ch for ch in value)
-    return re.sub(r"[^\W_]+", lambda m: m[0] if m[0].lower() in _KEPT else _surrogate_token(m[0], key), value)
+    kept = _format(kind, value)
+    while True:
+        out, at = [], 0
+        for s, e in [*(kept or []), (len(value), len(value))]:
+            out += [re.sub(r"[^\W_]+", lambda m: _surrogate_token(m[0], key), value[at:s]), value[s:e]]
+            at = e
+        value = "".join(out)
+        if kept is None or _format(kind, value) == kept:
+            return value
 
 
 def replaced(text: str, lexicon: Lexicon, how: Callable[[str, str], str]) -> str:
@@ -308,13 +363,16 @@ def redact(df: DataFrame, text: str, lexicon: Lexicon, key: str, style: str = "p
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
-    """pii_type, tag, n: tags that distinct entities share; empty if placeholders keep entities apart."""
+    """pii_type, tag, n: tags, and normal forms of surrogates, that n distinct entities share; empty if both kinds of
+    replacement keep entities apart."""
     secret = key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = list(zip(b.column("pii_type").to_pylist(), b.column("value").to_pylist()))
-            yield pa.record_batch({"pii_type": b.column("pii_type"), "tag": pa.array([placeholder(k, v, secret) for k, v in pairs], pa.string()), "entity": pa.array([normal_form(k, v) for k, v in pairs], pa.string())})
+            entity = pa.array([normal_form(k, v) for k, v in pairs], pa.string())
+            for tags in ([placeholder(k, v, secret) for k, v in pairs], [normal_form(k, surrogate(k, v, secret)) for k, v in pairs]):
+                yield pa.record_batch({"pii_type": b.column("pii_type"), "tag": pa.array(tags, pa.string()), "entity": entity})
 
     tagged = found.select("pii_type", "value").distinct().mapInArrow(run, "pii_type string, tag string, entity string")
     return tagged.distinct().groupBy("pii_type", "tag").agg(F.count("*").alias("n")).filter("n > 1")

@@ -135,6 +135,39 @@ def test_replacements(spark):
     assert pii.find(df.filter("false"), ["i"], "t", LEX).collect() == []
 
 
+KEYS = [b"%d" % i for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "part"),
+    [("name", "Lane", "Lane"), ("name", "N. Berg", "N."), ("name", "O. Berg", "O."), ("email", "dev@x.test", "dev@"), ("email", "box at dev dot org", "box"), ("name", "Ñandú Łoś", "Ñ"), ("name", "Ñandú Łoś", "Łoś"), ("name", "Öz", "Ö"), ("address", "5 Lane Road", "Lane"), ("email", "aд中@x.test", "д中")],
+)
+def test_no_part_stays_in_clear(kind, value, part):
+    at = value.index(part)
+    assert {pii.surrogate(kind, value, k)[at : at + len(part)] for k in KEYS} - {part}
+
+
+def test_format_words_stay_at_their_place():
+    for k in KEYS:
+        assert pii.surrogate("email", "a_b7 at dev dot x dot org", k)[4:16] == " at dev dot " and pii.surrogate("email", "a@mail.x.example", k).endswith(".example")
+        for value, words in {"Flat 3, 5 N. Elm Lane, Town ZZ59 7QX": ["Flat ", " N. ", " Lane, "], "P.O. Box 6087, Town": ["P.O. Box "], "Mondweg 51b, Town": ["weg "], "Calle Luna 52, 2º B, Town": ["Calle ", "º "], "12 bis rue de la Lune, Ville": [" bis rue de la "]}.items():
+            assert pii.entities(new := pii.surrogate("address", value, k), LEX) == [("address", 0, len(value))] and all(w in new for w in words)
+
+
+@pytest.mark.parametrize(("kind", "form"), [("email", "a@{}.com"), ("email", "a at {} dot com"), ("email", "a@x.{}"), ("address", "12 Elm {} Road"), ("name", "Anna {}")])
+def test_surrogates_are_distinct(kind, form):
+    three = [a + b + c for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"] + ["mail", "lane", "test"]
+    values = [form.format(w if kind == "email" else w.title()) for w in three]
+    assert len({pii.surrogate(kind, v, b"k") for v in values}) == len(values)
+
+
+def test_surrogate_collisions_are_seen(spark, monkeypatch):
+    found = spark.createDataFrame([("name", "Anna Berg"), ("name", "BERG, ANNA"), ("name", "Anna Bern")], "pii_type string, value string")
+    assert pii.collisions(found, "k").collect() == []
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, key: "x")
+    assert [tuple(r) for r in pii.collisions(found, "k").collect()] == [("name", "x", 2)]
+
+
 # 8: encoding
 
 
