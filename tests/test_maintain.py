@@ -84,6 +84,14 @@ def test_text(spark):
     assert got[1][0] is None and got[1][1] is None and got[1][4] is None and got[3][1] == "a b" and got[2][0] == ""
 
 
+def test_tokens_after_the_fiftieth(spark, tmp_path):
+    from loomtrace.plans import registry
+
+    spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(120))), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in registry.QUERIES["document_tokens_all"](spark, str(tmp_path)).collect()}
+    assert out[1].n == 120 and out[1].tokens.split(" ") == [f"w{i}" for i in range(120)] and out[2].tokens is None and out[3].tokens == ""
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(max_size=40), st.integers(0, 50), st.integers(0, 50))
 def test_windows_and_gaps_cover_all(text, offset, width):
