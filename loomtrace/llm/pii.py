@@ -92,15 +92,15 @@ NAME = re.compile(
     rf"|(?<![\w.])(?P<f>{_CAP}, {_CAP})(?= (?:reviewed|approved|wants|reported)\b)"
 )
 _TWO = re.compile(rf"(?<![\w.@-])(?P<x>{_CAP}|{_CAPS}|[{_UP}]\.)(?P<s> |, )(?P<y>{_CAP}|{_CAPS})(?![\w@])")
-#: What a text must hold for any of the above; RE2 reads it in linear time.
+#: What a text must hold for any of the above; RE2 reads it in linear time, its digits being those of all scripts.
 TRIGGER = (
     r"@|[\[(]at[\])]| at [A-Za-z0-9-]+ dot "
     r"|\+\d|\d{3}[-.) ] ?\d{3,4}|\d \d\d \d\d|\d/\d{6}"
     r"|(?i:ssn|social security|national|ni number|tax |licen[cs]e|passport|ausweis|\bdni|\bnie\b|\bid (card|number))"
-    rf"|\d,? (?:[NSEW]\. )?[A-ZÀ-Þ]\S+ (?:\S+ )?(?:{STREETS})|Box \d|Postfach|Apartado|(?:{SUFFIXES}) \d|(?:{FRENCH}) |(?:Calle|Avenida|Plaza|Paseo) "
-    r"|[A-ZÀ-Þ][a-zß-ÿ'’]+,? [A-ZÀ-Þ][a-zß-ÿ]|[A-Z]{2} [A-Z]{2}|[A-ZÀ-Þ]\. [A-ZÀ-Þ]"
-    rf"|\b(?:{TITLES})\b\.? [A-ZÀ-Þ]"
-)
+    rf"|\d[a-z]?,? (?:[NSEW]\. )?[{_UP}]\S+ (?:\S+ )?(?:{STREETS})|Box \d|Postfach|Apartado|(?:{SUFFIXES}) \d|(?:{FRENCH}) |(?:Calle|Avenida|Plaza|Paseo) "
+    rf"|[{_UP}][{_UP}{_LOW}'’-]+,? [{_UP}][{_UP}{_LOW}]|[{_UP}]\. [{_UP}]"
+    rf"|\b(?:{TITLES})\b\.? [{_UP}]"
+).replace(r"\d", r"\p{Nd}")
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def _names(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
         else:
             sure = (x in lexicon.given and x not in PLAIN) + (y in lexicon.family and y not in PLAIN)
             known = sure == 2 or (sure == 1 and (x in lexicon.given or len(x) > 3) and y not in lexicon.given and x not in lexicon.family and (y in lexicon.family or (len(y) > 3 and m["y"] not in ("Next", "Version"))))
-            known = known and (y in lexicon.family or x in lexicon.given) and not (sure == 1 and (x in _STARTS or y in _STARTS))
+            known = known and (y in lexicon.family or x in lexicon.given) and ((x in lexicon.given and y in lexicon.family) or not (sure == 1 and (x in _STARTS or y in _STARTS)))
         if known:
             yield m.span()
             at = m.end()

@@ -135,6 +135,17 @@ def test_replacements(spark):
     assert pii.find(df.filter("false"), ["i"], "t", LEX).collect() == []
 
 
+def test_the_prefilter_is_no_narrower(spark):
+    texts = {
+        "Author: HANS MÜLLER": "name", "HANS MÜLLER": None, "off to 12b Kastrin road now": "address", "saw Nimol Page there": "name", "saw Nimol KUQUOM there": "name",
+        "saw KUQUOM, NIMOL there": "name", "owner: Abc-def Berg": "name", "at ٣٤٥-٦٧٨٩ now": "phone", "Mark Page": None, "the next Page": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.pii_type for r in pii.find(df, ["i"], "t", LEX).collect()}
+    assert [got.get(i) for i in range(len(texts))] == list(texts.values())
+    assert all(k == got.get(i) for i, t in enumerate(texts) for k, _, _ in pii.entities(t, LEX))
+
+
 KEYS = [b"%d" % i for i in range(12)]
 
 
