@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from json.decoder import scanstring
 from typing import Any
 
 _STAMP = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
@@ -17,14 +18,108 @@ def _reject(name: str) -> None:
     raise ValueError(name)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"(true|false|null)|(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _skip(text: str, at: int) -> int:
+    return _SPACE.match(text, at).end()
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """The key of an object at a place, and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError("no key")
+    key, at = scanstring(text, at + 1, True)
+    at = _skip(text, at)
+    if text[at : at + 1] != ":":
+        raise ValueError("no colon")
+    return key, _skip(text, at + 1)
+
+
+def _read(text: str) -> Any:
+    """The same as json.loads without constants, for any depth."""
+    stack: list[tuple[Any, str | None]] = []
+    at = _skip(text, 0)
+    while True:
+        ch, key = text[at : at + 1], None
+        if ch in ("{", "["):
+            value: Any = {} if ch == "{" else []
+            at = _skip(text, at + 1)
+            if text[at : at + 1] != ("}" if ch == "{" else "]"):
+                if ch == "{":
+                    key, at = _key(text, at)
+                stack.append((value, key))
+                continue
+            at += 1
+        elif ch == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError("no value")
+            value = _WORDS[m[1]] if m[1] else float(m[0]) if m[3] or m[4] else int(m[0])
+            at = m.end()
+        while stack:
+            holder, key = stack.pop()
+            if key is None:
+                holder.append(value)
+            else:
+                holder[key] = value
+            at = _skip(text, at)
+            ch = text[at : at + 1]
+            if ch == ",":
+                at = _skip(text, at + 1)
+                if key is not None:
+                    key, at = _key(text, at)
+                stack.append((holder, key))
+                break
+            if ch != ("]" if key is None else "}"):
+                raise ValueError("no end")
+            value, at = holder, at + 1
+        else:
+            if _skip(text, at) != len(text):
+                raise ValueError("more than one value")
+            return value
+
+
+def written(value: Any) -> str:
+    """The value as JSON with sorted keys, for any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    stack: list[tuple[bool, Any]] = [(False, value)]
+    while stack:
+        done, x = stack.pop()
+        if done:
+            out.append(x)
+        elif isinstance(x, dict):
+            inner = [y for i, k in enumerate(sorted(x)) for y in ((True, ", " * (i > 0) + json.dumps(k, ensure_ascii=False) + ": "), (False, x[k]))]
+            stack.extend(reversed([(True, "{"), *inner, (True, "}")]))
+        elif isinstance(x, list):
+            inner = [y for i, v in enumerate(x) for y in ((True, ", " * (i > 0)), (False, v))]
+            stack.extend(reversed([(True, "["), *inner, (True, "]")]))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def parse_record(text: str | None) -> dict[str, Any] | None:
-    """The JSON object in a line, or None for blank lines, invalid JSON (NaN and Infinity included), anything but an
-    object, and nesting beyond the parser's limit. Of a repeated key the last value counts."""
+    """The JSON object in a line, of any depth, or None for blank lines, invalid JSON (NaN and Infinity included) and
+    anything but an object. Of a repeated key the last value counts."""
     if not text or not text.strip():
         return None
     try:
         value = json.loads(text, parse_constant=_reject)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            value = _read(text)
+        except ValueError:
+            return None
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 

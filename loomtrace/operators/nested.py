@@ -1,14 +1,13 @@
 """Deeply nested records to flat tables of messages, blocks, calls and results with links to what encloses them.
 
 A bottom-up tree automaton gives each JSON object a variant: its state follows from its own keys, from the states of
-its children, and from the place that refers to it. A worklist visits the tree, so depth is bounded by the parser
-alone. Every variant has a table of its own columns; all share (file_id, line_no, node, parent_node), the common
+its children, and from the place that refers to it. A worklist visits the tree, so depth isn't bounded.
+Every variant has a table of its own columns; all share (file_id, line_no, node, parent_node), the common
 supertype, by which rows of any table can be joined with the row that encloses them.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonvalues import json_type, parse_record, scalars
+from ..functions.jsonvalues import json_type, parse_record, scalars, written
 from .drift import Baseline, shape_of, version_of
 
 #: Kinds of nodes.
@@ -81,12 +80,13 @@ def _text_of(value: Any) -> str | None:
 def flatten(record: dict[str, Any], is_result_entry: bool) -> list[dict[str, Any]]:
     """One row per classified object of a record, in document order; node 0 is the record itself."""
     rows: list[dict[str, Any]] = []
-    stack: list[tuple[Any, str, int, int, str]] = [(record, "", -1, 0, "")]
+    stack: list[tuple[Any, str, int, int, int, str]] = [(record, "", 0, -1, 0, "")]
     while stack:
-        value, place, parent, depth, call = stack.pop()
+        value, key, lists, parent, depth, call = stack.pop()
         if isinstance(value, list):
-            stack.extend((x, place + "[]", parent, depth, call) for x in reversed(value) if isinstance(x, (dict, list)))
+            stack.extend((x, key, lists + 1, parent, depth, call) for x in reversed(value) if isinstance(x, (dict, list)))
             continue
+        place = key + "[]" * lists
         kind = classify(value, place, parent < 0, is_result_entry)
         node, inner = parent, call
         if kind is not None:
@@ -106,13 +106,13 @@ def flatten(record: dict[str, Any], is_result_entry: bool) -> list[dict[str, Any
                     "parent_call_id": call,
                     "name": next((value[x] for x in ("name", "toolName") if isinstance(value.get(x), str)), None),
                     "role": value.get("role") if isinstance(value.get("role"), str) else None,
-                    "body": json.dumps(body, ensure_ascii=False, sort_keys=True) if kind == CALL else next((s for x in ("text", "thinking", "result", "content", "output") if (s := _text_of(value.get(x))) is not None), None),
+                    "body": written(body) if kind == CALL else next((s for x in ("text", "thinking", "result", "content", "output") if (s := _text_of(value.get(x))) is not None), None),
                     "is_error": error if isinstance(error, bool) else None,
                 }
             )
             if kind in (CALL, RESULT):
                 inner = own or ""
-        stack.extend((v, k, node, depth + 1, inner) for k, v in reversed(value.items()) if isinstance(v, (dict, list)))
+        stack.extend((v, k, 0, node, depth + 1, inner) for k, v in reversed(value.items()) if isinstance(v, (dict, list)))
     return rows
 
 

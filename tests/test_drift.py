@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
+from loomtrace.functions import jsonvalues
 from loomtrace.operators import drift, nested
 
 BASE = {
@@ -82,3 +85,23 @@ def test_deep_nesting_is_defined(spark):
     deep = '{"type":"x","id":"e","timestamp":"","a":' + "[" * 200_000 + "]" * 200_000 + "}"
     lines = spark.createDataFrame([(1, 2, deep), (1, 3, '{"id":"f","timestamp":"","type":"x"}')], "file_id long, line_no int, raw_text string")
     assert {r.line_no for r in nested.nodes(lines, BASE).collect()} >= {3}
+
+
+@pytest.mark.parametrize("depth", [3, 20_000, 100_000])
+def test_calls_in_deep_records_are_found(depth):
+    call = '{"id":"c2","name":"n","arguments":' + '{"x":[' * depth + '{"id":"c3","name":"n","arguments":[1,-2.5e1,"\\u00e9",null,true,{}]}' + "]}" * depth + "}"
+    record = jsonvalues.parse_record('{"type":"x","b": ' + "[" * depth + call + "]" * depth + ', "id":"e"}\n')
+    rows = nested.flatten(record, False)
+    assert [(r["semantic_kind"], r["tool_call_id"], r["parent_call_id"]) for r in rows] == [("entry", None, ""), ("tool.call", "c2", ""), ("tool.call", "c3", "c2")]
+    assert rows[1]["body"] == '{"x": [' * depth + '{"arguments": [1, -25.0, "é", null, true, {}], "id": "c3", "name": "n"}' + "]}" * depth
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", "[1,]", '{"a":1,}', '{"a" 1}', '{"a":1}x', "01", "-", "NaN", '{"a":"\\ud83d"}', '{"a":[{"b":1},2],"a":{"c":"\\n"}}', "[1 2]", '{1:2}', '"a\nb"', "[1e5, 1.0, -0]", " \t{ }\r\n", "{", "[", "", '["', "[[]", "tru"])
+def test_the_deep_reader_reads_as_json(text):
+    def result(read):
+        try:
+            return repr(read(text))
+        except ValueError:
+            return "invalid"
+
+    assert result(jsonvalues._read) == result(lambda t: json.loads(t, parse_constant=jsonvalues._reject))
