@@ -31,13 +31,12 @@ _DDL = "k string, v string, back long, turn int, fault string"
 
 
 def _walk(t: pa.Table) -> pa.Table:
-    """The turns on the walk of each group (back: links from the leaf), and one row without v for its fault."""
+    """The turns on the walk of each group (back: links from the leaf), and one row without v for its fault. Groups are
+    sorted by seq, so that the walk starts at their last row."""
     par = parent_rows(t)
     starts = group_starts(t, ["k"])
-    seq = t.column("seq").combine_chunks().fill_null(-(2**62)).to_numpy(zero_copy_only=False)
     turn = t.column("turn").to_numpy()
-    last = np.append(starts[1:], t.num_rows)
-    leaf = np.array([s + int(np.argmax(seq[s:e])) for s, e in zip(starts, last)], np.int64)
+    leaf = np.append(starts[1:], t.num_rows)[: len(starts)] - 1
     c = contract(np.where(par >= 0, par, -1))
     broken = (c.state[leaf] != FREE) | (par[c.root[leaf]] == -2)
     at, group = leaf[~broken], np.flatnonzero(~broken)
@@ -70,7 +69,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _doubled(rows: DataFrame) -> DataFrame:
     """The same as _walk for groups of any size."""
     rows = checkpointed(rows)
-    leaf = rows.groupBy("k").agg(F.max(F.struct(F.coalesce("seq", F.lit(-(2**62))).alias("s"), F.col("v"))).alias("o"), F.count("*").alias("n"))
+    leaf = rows.groupBy("k").agg(F.max(F.struct(F.col("seq").isNotNull(), "seq", "v")).alias("o"), F.count("*").alias("n"))
     size = leaf.agg(F.max("n")).first()[0] or 0
     ends = leaf.select("k", F.col("o.v").alias("v"))
     inner = rows.filter("p IS NOT NULL").select("k", F.col("p").alias("v")).unionByName(ends).distinct()
@@ -112,7 +111,7 @@ def walks(rows: DataFrame, key: str, node: str, parent: str, seq: str, turn: str
     """
     clean = df_rows(rows, key, node, parent, seq, turn)
     small, large = split_by_size(clean, max_local)
-    out = small.repartition("k").sortWithinPartitions("k", F.col("v").desc()).mapInArrow(_local, _DDL)
+    out = small.repartition("k").sortWithinPartitions("k", "seq", "v").mapInArrow(_local, _DDL)
     return out if large is None else out.unionByName(_doubled(large))
 
 

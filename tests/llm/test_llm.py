@@ -98,6 +98,15 @@ def test_faults(spark, limit):
     assert conversations.walks(df.filter("false"), "k", "v", "p", "seq", "turn", limit).collect() == []
 
 
+@pytest.mark.parametrize("limit", [10_000, 1])
+def test_the_walk_starts_at_the_greatest_number(spark, limit):
+    rows = [("low", "a", None, None, 1), ("low", "b", None, -(2**62) - 5, 0), ("tie", "a", None, 3, 0), ("tie", "b", None, 3, 1), ("tie", "c", None, None, 2), ("ok", "z", None, 1, 1), ("ok", "b", "z", 2, 2)]
+    df = spark.createDataFrame(rows, "k string, v string, p string, seq long, turn int")
+    out = conversations.walks(df, "k", "v", "p", "seq", "turn", limit).collect()
+    assert {r.k: r.fault for r in out if r.v is None} == {"low": "empty", "tie": "no_reply", "ok": None}
+    assert {(r.k, r.v, r.back) for r in out if r.v is not None} == {("tie", "b", 0), ("ok", "b", 0), ("ok", "z", 1)}
+
+
 # 7: personal information
 
 LEX = pii.Lexicon(frozenset(["nimol", "mark"]), frozenset(["kuquom", "branch", "page"]))
