@@ -28,6 +28,24 @@ def changed_places(current: Column, done: Column) -> Column:
     return F.array_compact(F.transform(F.coalesce(current, F.array().cast("array<string>")), differs))
 
 
+def with_checksum(listing: DataFrame) -> DataFrame:
+    """listing with the checksum of each file's entry_hashes; null lists count as empty ones."""
+    hashes = F.coalesce("entry_hashes", F.array().cast("array<string>"))
+    return listing.withColumn("checksum", F.sha2(F.to_json(hashes), 256))
+
+
+def unprocessed(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The files of listing (file_path, entry_hashes, other columns) that the manifest (file_path, checksum,
+    entry_hashes; one row per file) doesn't hold as they are, with checksum and places, the entries to process.
+
+    Files with a hash that isn't durable are never held. places is empty for files that only lost entries.
+    """
+    held = manifest.filter(F.forall(F.coalesce("entry_hashes", F.array().cast("array<string>")), is_durable)).select("file_path", "checksum")
+    todo = with_checksum(listing).join(held, ["file_path", "checksum"], "left_anti")
+    todo = todo.join(manifest.select("file_path", F.col("entry_hashes").alias("__done")), "file_path", "left")
+    return todo.withColumn("places", changed_places(F.col("entry_hashes"), F.col("__done"))).drop("__done")
+
+
 def pending_entries(observations: DataFrame, runs: DataFrame) -> DataFrame:
     """file_path, entry_no of the entries that the current run has to process.
 
@@ -41,12 +59,10 @@ def pending_entries(observations: DataFrame, runs: DataFrame) -> DataFrame:
     r = r.filter("ok OR run_id = last").select("run_id", (F.col("run_id") == F.col("last")).alias("now"))
     seen = observations.filter("file_path IS NOT NULL").select("run_id", "file_path", "entry_hashes", "observed_at")
     seen = seen.join(r, "run_id").groupBy("file_path", "run_id", "now").agg(F.max(F.struct(F.col("observed_at").isNotNull(), "observed_at", "entry_hashes")).alias("o"))
-    per = seen.groupBy("file_path").agg(
-        F.max(F.when(F.col("now"), F.struct(F.lit(1), F.col("o.entry_hashes").alias("hashes")))).alias("current"),
-        F.max(F.when(~F.col("now"), F.struct("run_id", F.col("o.entry_hashes").alias("hashes")))).alias("done"),
-    )
-    places = changed_places(F.col("current.hashes"), F.col("done.hashes"))
-    return per.filter("current IS NOT NULL").select("file_path", F.explode(places).alias("entry_no"))
+    now = seen.filter("now").select("file_path", F.col("o.entry_hashes").alias("entry_hashes"))
+    done = seen.filter("NOT now").groupBy("file_path").agg(F.max(F.struct("run_id", F.col("o.entry_hashes").alias("hashes"))).alias("d"))
+    done = with_checksum(done.select("file_path", F.col("d.hashes").alias("entry_hashes")))
+    return unprocessed(now, done).select("file_path", F.explode("places").alias("entry_no"))
 
 
 class Manifest:
@@ -90,13 +106,10 @@ def run_once(spark: SparkSession, listing: DataFrame, process: Callable[[DataFra
     (the zero-based entries to process) and returns what to write. Each record is in exactly one committed batch.
     """
     number = (manifest.batches() or [0])[-1] + 1
-    now = listing.withColumn("checksum", F.sha2(F.to_json("entry_hashes"), 256))
-    done = manifest.files().select("file_path", F.col("entry_hashes").alias("done"), F.col("checksum").alias("was"))
-    todo = now.join(done, "file_path", "left").filter("was IS NULL OR was <> checksum OR exists(entry_hashes, h -> h NOT RLIKE '^[0-9a-f]{8}$')")
-    todo = todo.withColumn("places", changed_places(F.col("entry_hashes"), F.col("done")))
+    todo = unprocessed(listing, manifest.files())
     if todo.isEmpty():
         return None
-    process(todo.filter(F.size("places") > 0).drop("done", "was", "checksum")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    process(todo.filter(F.size("places") > 0).drop("checksum")).write.mode("overwrite").parquet(f"{out}/batch={number}")
     manifest.commit(number, todo)
     return number
 

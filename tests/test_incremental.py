@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from loomtrace.operators import incremental
 from loomtrace.operators.incremental import Manifest, pending_entries, read_committed, run_once
 
 A, B, C, X = "0000000a", "0000000b", "0000000c", "adapter-1"
@@ -49,3 +50,20 @@ def test_runs_survive_failures(spark, tmp_path):
     got = sorted(tuple(r) for r in read_committed(spark, out, m).select("file_path", "place", "batch").collect())
     assert got == [("f", 0, 1), ("f", 1, 2), ("g", 0, 1), ("h", 0, 2)]
     assert m.files().count() == 3
+
+
+def test_one_operator_for_runs_and_observations(spark, tmp_path, monkeypatch):
+    schema = "file_path string, entry_hashes array<string>"
+    now = spark.createDataFrame([("same", [A, B]), ("held", [X, A]), ("null", [None]), ("less", [A]), ("more", [A, C]), ("new", [B]), ("none", None), ("void", None)], schema)
+    done = spark.createDataFrame([("same", [A, B]), ("held", [X, A]), ("null", [None]), ("less", [A, B]), ("more", [A, B]), ("gone", [A]), ("none", None)], schema)
+    got = {r.file_path: r.places for r in incremental.unprocessed(now, incremental.with_checksum(done)).collect()}
+    assert got == {"held": [0], "null": [0], "less": [], "more": [1], "new": [0], "void": []}
+
+    calls = []
+    whole = incremental.unprocessed
+    monkeypatch.setattr(incremental, "unprocessed", lambda *a: calls.append(1) or whole(*a))
+    runs = spark.createDataFrame([(1, "ok"), (2, "running")], "run_id int, run_state string")
+    obs = spark.createDataFrame([(1, "f", [A], 1), (2, "f", [A, B], 1)], "run_id int, file_path string, entry_hashes array<string>, observed_at int")
+    assert [tuple(r) for r in pending_entries(obs, runs).collect()] == [("f", 1)] and len(calls) == 1
+    run_once(spark, listing(spark, f=[A]), lambda todo: todo.select("file_path"), str(tmp_path / "out"), Manifest(spark, str(tmp_path / "m")))
+    assert len(calls) == 2
