@@ -1,9 +1,9 @@
 """Deeply nested records to flat tables of messages, blocks, calls and results with links to what encloses them.
 
-A bottom-up tree automaton gives each JSON object a variant: its state follows from its own keys, from the states of
-its children, and from the place that refers to it. A worklist visits the tree, so depth isn't bounded.
-Every variant has a table of its own columns; all share (file_id, line_no, node, parent_node), the common
-supertype, by which rows of any table can be joined with the row that encloses them.
+One walk from the top gives each JSON object a variant by its own keys and by the key under which it stands; states of
+children play no part. The walk keeps a worklist, so depth isn't bounded. Every variant has a table of its own columns;
+all share (file_id, line_no, node, parent_node), the common supertype, by which rows of any table can be joined with
+the row that encloses them.
 """
 
 from __future__ import annotations
