@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.incremental import pending_entries
+from ..session import scratch
 from ..tables import Tables
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return pending_entries(t.source_obs, t.index_runs)
+    return pending_entries(t.source_obs, t.index_runs, scratch(spark, "p5"))
 
 
 QUERIES = {"p5_found": p5_found}

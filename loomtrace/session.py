@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the operators rely on when they start a session of their own.
@@ -15,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -30,27 +33,48 @@ def get_session(master: str = "local[*]", app: str = "loomtrace", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of our own only where none is set (tests)."""
+    """The shared folder named by the cluster. Only a session whose tasks all run in this process gets a folder of its
+    own where none is named; it goes when the process ends."""
     sc = spark.sparkContext
-    set_dir = sc.getCheckpointDir()
-    if set_dir:
-        return set_dir
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtrace-checkpoint-"))
+    if named:
+        sc.setCheckpointDir(named)
+    elif sc.master == "local" or sc.master.startswith("local["):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtrace-checkpoint-"))
+        _delete_on_exit(spark, str(Path(sc.getCheckpointDir().removeprefix("file:")).parent))
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return sc.getCheckpointDir()
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder for tables that last as long as the session."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which survives lost executors.
 
     The result forgets the planner's estimate of df: in iterations that join a table with itself such estimates
-    multiply from round to round without bound. Adaptive execution goes by the sizes it meets.
+    multiply from round to round without bound. Adaptive execution goes by the sizes it meets. A Spark that doesn't
+    offer the call for this keeps the estimates and gives the same rows.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    try:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+    except (AttributeError, TypeError, Py4JError):
+        return kept
 
 
 def ship(spark: SparkSession) -> None:
