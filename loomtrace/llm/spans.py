@@ -2,9 +2,13 @@
 
 Windows of w characters are hashed only at places whose residue modulo a period P lies in a perfect difference set.
 Any two spans of w + P - 1 or more equal characters, wherever they stand, have an anchor in common. Anchors found in
-two documents mark the places around which windows of the full length are hashed and compared; what these cover is
-what is shared. Hashes travel in sorted blocks, one a task and bucket, in which each task has already combined what it
-saw more than once, so that a passage in a third of all documents costs one entry a task and not one a document.
+two documents mark the places around which windows of the full length are hashed (in 120 bits and those that the bucket
+tells) and compared; what these cover is what is shared. An anchor only makes a candidate, so 40 bits and those of the
+bucket do for it.
+
+Hashes travel in blocks, one a bucket, in which each task has already combined what it saw more than once. Of a passage
+in a third of all documents each task sends one entry to the bucket of its hash; that the others are shared it knows
+itself, and it sends this to buckets that go by the document. A bucket is a partition, so no two fall together.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .rolling import gathered, window_hashes
 
-#: Bytes of hashes that a bucket should hold about, and how many come from a byte of table at most.
-_BUCKET_BYTES, _BYTES_PER_BYTE = 24_000_000, 4
-#: Entries that a bucket gathers before it combines them.
+#: Bytes of hashes that come from a byte of table at most.
+_BYTES_PER_BYTE = 4
+#: Entries that a task gathers before it combines and sends them, and that a bucket gathers before it combines them.
 _GATHER = 1_000_000
+#: Bits of an anchor's key beside its bucket.
+_KEY = 40
 
 
 @lru_cache(maxsize=8)
@@ -56,25 +62,30 @@ def plan(length: int) -> tuple[int, int, tuple[int, ...]]:
     return length - period + 1, period, difference_set(best)
 
 
-NEW, KNOWN, MARKED = 0, 1, 2
+NEW, KNOWN = 0, 1
+#: Columns of entries: hash, second hash (of windows), document, start (of windows), flag.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def combine(h: np.ndarray, doc: np.ndarray, start: np.ndarray, flag: np.ndarray, once: bool) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """(entries to keep, entries found shared) of entries with hash, document, start and flag.
+def combine(h: np.ndarray, g: np.ndarray, doc: np.ndarray, start: np.ndarray, flag: np.ndarray, once: bool) -> tuple[Entries, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(entries to keep, hash, document and start of the entries found shared).
 
-    An entry is shared if another document has its hash, or if its hash is known to be. Of a shared hash one entry
-    stays, flagged KNOWN. With once, an entry that a document repeats counts once.
+    An entry is shared if another document has its hashes, or if they are known to be shared. Of shared hashes one
+    entry stays, flagged KNOWN. With once, an entry that a document repeats counts once.
     """
-    o = np.lexsort((start, doc, h)) if once else np.argsort(h, kind="stable")
-    h, doc, start, flag = h[o], doc[o], start[o], flag[o]
+    o = np.lexsort((doc, h)) if once else np.argsort(h, kind="stable")
+    same = h[o][1:] == h[o][:-1]
+    if (same & (g[o][1:] != g[o][:-1])).any():
+        o = np.lexsort((doc, g, h))
+    h, g, doc, start, flag = h[o], g[o], doc[o], start[o], flag[o]
     if once and len(h):
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (flag[1:] != flag[:-1])
-        h, doc, start, flag = h[keep], doc[keep], start[keep], flag[keep]
+        h, g, doc, start, flag = h[keep], g[keep], doc[keep], start[keep], flag[keep]
     if not len(h):
-        return (h, doc, start, flag), (h, doc, start)
+        return (h, g, doc, start, flag), (h, doc, start)
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(h)))
     shared = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(flag, first) > NEW)
@@ -84,7 +95,7 @@ def combine(h: np.ndarray, doc: np.ndarray, start: np.ndarray, flag: np.ndarray,
     stay[first[shared]] = True
     out_flag = flag.copy()
     out_flag[first[shared]] = KNOWN
-    return (h[stay], doc[stay], start[stay], out_flag[stay]), (h[found], doc[found], start[found])
+    return (h[stay], g[stay], doc[stay], start[stay], out_flag[stay]), (h[found], doc[found], start[found])
 
 
 def _pack(a: np.ndarray, size: int) -> bytes:
@@ -98,30 +109,63 @@ def _unpack(data: bytes, size: int, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_BLOCK_DDL = "bucket int, n int, hashes binary, docs binary, starts binary, flags binary"
-
-
-def _block(h: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int, once: bool) -> pa.RecordBatch:
-    """One row for each bucket that the entries of a block fall into, combined."""
-    (h, doc, start, flag), (mh, md, ms) = combine(h, doc, start, np.zeros(len(h), np.uint8), once)
-    h, doc, start = np.concatenate([h, mh]), np.concatenate([doc, md]), np.concatenate([start, ms])
-    flag = np.concatenate([flag, np.full(len(mh), MARKED, np.uint8)])
-    bucket = (h % np.uint64(buckets)).astype(np.int32)
-    o = np.lexsort((start, doc, bucket))  # in order of documents, which compresses
-    h, doc, start, flag, bucket = h[o], doc[o], start[o], flag[o], bucket[o]
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows = [(b, at[b], at[b + 1]) for b in range(buckets) if at[b + 1] > at[b]]
-    width = 7 if once else 8
-    return pa.record_batch(
-        {
-            "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
-            "n": pa.array([int(e - s) for _, s, e in rows], pa.int32()),
-            "hashes": pa.array([_pack(h[s:e], width) for _, s, e in rows], pa.binary()),
-            "docs": pa.array([_pack(doc[s:e].view(np.uint64), 8) for _, s, e in rows], pa.binary()),
-            "starts": pa.array([b"" if once else _pack(start[s:e].view(np.uint64), 5) for _, s, e in rows], pa.binary()),
-            "flags": pa.array([flag[s:e].tobytes() for _, s, e in rows], pa.binary()),
-        }
-    )
+#: settled: the block's entries are known to be shared; it only passes through.
+_BLOCK_DDL = "bucket int, n int, settled boolean, hashes binary, seconds binary, docs binary, starts binary, flags binary"
+
+
+def _rows(bucket: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, document and start (which compresses), and the bucket and borders of each run in it."""
+    o = np.lexsort((start, doc, bucket))
+    b = bucket[o]
+    first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    return o, [(int(b[s]), int(s), int(e)) for s, e in zip(first, np.append(first[1:], len(b)))]
+
+
+def keyed(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash in the high bits, above _KEY bits of the rest."""
+    n = np.uint64(buckets)
+    return (h % n) << np.uint64(_KEY) | (h // n) & np.uint64((1 << _KEY) - 1)
+
+
+def _block(h: np.ndarray, g: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int, once: bool) -> pa.RecordBatch:
+    """The entries of a block, combined, as one row for each bucket that they fall into; once: of anchors, whose h is
+    their key, not of windows. What is found shared here goes to the buckets of the documents."""
+    (h, g, doc, start, flag), (mh, md, ms) = combine(h, g, doc, start, np.zeros(len(h), np.uint8), once)
+    bucket = (h >> np.uint64(_KEY) if once else h % np.uint64(buckets)).astype(np.int32)
+    rest = h if once else h // np.uint64(buckets)
+    o, runs = _rows(bucket, doc, start)
+    rest, g, doc, start, flag = rest[o], g[o], doc[o], start[o], flag[o]
+    out = [
+        (b, e - s, False, _pack(rest[s:e], 5 if once else 7), b"" if once else _pack(g[s:e], 8), _pack(doc[s:e].view(np.uint64), 8), b"" if once else _pack(start[s:e].view(np.uint64), 5), flag[s:e].tobytes())
+        for b, s, e in runs
+    ]
+    spread = (md.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+    o, runs = _rows(spread.astype(np.int32), md, ms)
+    mh, md, ms = mh[o], md[o], ms[o]
+    out += [(b, e - s, True, _pack(mh[s:e], 8) if once else b"", b"", _pack(md[s:e].view(np.uint64), 8), b"" if once else _pack(ms[s:e].view(np.uint64), 5), b"") for b, s, e in runs]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    names = ["bucket", "n", "settled", "hashes", "seconds", "docs", "starts", "flags"]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+
+
+class _Gathered:
+    """Entries of several blocks, sent together."""
+
+    def __init__(self, buckets: int, once: bool) -> None:
+        self.buckets, self.once = buckets, once
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.count = 0
+
+    def add(self, *entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(entries)
+        self.count += len(entries[0])
+        if self.count >= _GATHER:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.count:
+            yield _block(*(np.concatenate(x) for x in zip(*self.held)), self.buckets, self.once)
+        self.held, self.count = [], 0
 
 
 def _points(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -142,6 +186,7 @@ def _anchors(length: int, buckets: int):
     width = plan(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Gathered(buckets, True)
         for whole in gathered(batches):
             texts, places, docs, base = [], [], [], 0
             for _, p, doc in _points(whole):
@@ -151,9 +196,10 @@ def _anchors(length: int, buckets: int):
                 docs.append(np.full(len(at), doc, np.int64))
                 base += len(p)
             if places and sum(map(len, places)):
-                at = np.concatenate(places)
-                h = window_hashes(np.concatenate(texts), at, width) >> np.uint64(8)
-                yield _block(h, np.concatenate(docs), np.zeros(len(h), np.int64), buckets, True)
+                h = keyed(window_hashes(np.concatenate(texts), np.concatenate(places), width), buckets)
+                none = np.zeros(len(h), np.int64)
+                yield from out.add(h, none.view(np.uint64), np.concatenate(docs), none)
+        yield from out.flush()
 
     return run
 
@@ -162,30 +208,30 @@ def _windows(length: int, buckets: int):
     width = plan(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Gathered(buckets, False)
         for whole in gathered(batches):
             marks = whole.column("marks")
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, p, doc in _points(whole):
                 at = _anchor_places(len(p), length)
                 known = np.asarray(marks[i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                at = at[np.isin(window_hashes(p, at, width) >> np.uint64(8), known)]
+                at = at[np.isin(keyed(window_hashes(p, at, width), buckets), known)]
                 last = len(p) - length
                 near = np.zeros(last + 2, np.int32)  # starts of spans around an anchor, by adding up borders
                 np.add.at(near, np.clip(at + width - length, 0, last + 1), 1)
                 np.add.at(near, np.minimum(at, last) + 1, -1)
-                s = np.flatnonzero(np.cumsum(near)[: last + 1] > 0)
-                out.append((window_hashes(p, s, length, 7), np.full(len(s), doc, np.int64), s))
-            if out:
-                yield _block(*(np.concatenate(x) for x in zip(*out)), buckets, False)
+                starts = np.flatnonzero(np.cumsum(near)[: last + 1] > 0)
+                for k in range(0, len(starts), _GATHER):
+                    s = starts[k : k + _GATHER]
+                    yield from out.add(window_hashes(p, s, length, 7), window_hashes(p, s, length, 11), np.full(len(s), doc, np.int64), s)
+        yield from out.flush()
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, document, start) of the shared entries of each bucket of a partition that is sorted by bucket."""
-    width = 7 if once else 8
-    kept: list[tuple[np.ndarray, ...]] = []
-    count, now = 0, None
+    """(hash, document, start) of the shared entries of a bucket, which is the whole partition."""
+    kept: list[Entries] = []
+    count = 0
 
     def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nonlocal kept, count
@@ -194,17 +240,16 @@ def _shared(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[tuple[np.
         return found
 
     for b in batches:
-        for bucket, n, h, d, s, f in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "hashes", "docs", "starts", "flags"))):
-            if bucket != now:
-                if kept:
-                    yield flush()
-                kept, count, now = [], 0, bucket
+        for bucket, n, settled, h, g, d, s, f in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
+            doc = _unpack(d, 8, n).view(np.int64)
             start = np.zeros(n, np.int64) if once else _unpack(s, 5, n).view(np.int64)
-            hashes, docs, flags = _unpack(h, width, n), _unpack(d, 8, n).view(np.int64), np.frombuffer(f, np.uint8)
-            done = flags == MARKED
-            if done.any():
-                yield hashes[done], docs[done], start[done]
-            kept.append((hashes[~done], docs[~done], start[~done], flags[~done]))
+            if settled:
+                yield _unpack(h, 8, n) if once else np.zeros(n, np.uint64), doc, start
+                continue
+            own = _unpack(h, 5 if once else 7, n)
+            if once:
+                own |= np.uint64(bucket << _KEY)
+            kept.append((own, np.zeros(n, np.uint64) if once else _unpack(g, 8, n), doc, start, np.frombuffer(f, np.uint8)))
             count += n
             if count >= _GATHER:
                 yield flush()
@@ -243,13 +288,21 @@ def _cover(length: int):
     return run
 
 
+def _bytes(setting: str) -> int:
+    """A size as the session's settings write it."""
+    number, unit = setting.lower().rstrip("b").rstrip("kmgt"), setting.lower().rstrip("b")[-1]
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0)
+
+
 def _buckets(df: DataFrame) -> int:
-    """From the planner's estimate of the input, so that a bucket stays small at any size; where the planner knows no
-    size, from the number of partitions."""
+    """From the planner's estimate of the input, so that a bucket has about the size that the session wants of a
+    partition; where the planner knows no size, from the number of partitions. More than 2^23 buckets have no place in
+    the keys; beyond that they grow."""
+    spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = size * _BYTES_PER_BYTE // _BUCKET_BYTES if size < 1 << 55 else 4 * df._jdf.rdd().getNumPartitions()
-    return int(min(max(wanted, least), 1 << 20))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = size * _BYTES_PER_BYTE // _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")) if size < 1 << 55 else 4 * df._jdf.rdd().getNumPartitions()
+    return int(min(max(wanted, least), 1 << 23))
 
 
 def shared_starts(df: DataFrame, id_column: str, text_column: str, length: int) -> DataFrame:
@@ -257,10 +310,10 @@ def shared_starts(df: DataFrame, id_column: str, text_column: str, length: int)
     texts = df.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).filter(F.col("doc").isNotNull() & (F.char_length("text") >= length))
     buckets = _buckets(df)
     anchors = texts.mapInArrow(_anchors(length, buckets), _BLOCK_DDL)
-    marks = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_marks, "doc long, v array<long>")
+    marks = anchors.repartitionById(buckets, "bucket").mapInArrow(_marks, "doc long, v array<long>")
     marks = marks.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("v"))).alias("marks"))
     windows = texts.join(marks, "doc").mapInArrow(_windows(length, buckets), _BLOCK_DDL)
-    return windows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_starts, "doc long, v array<long>")
+    return windows.repartitionById(buckets, "bucket").mapInArrow(_starts, "doc long, v array<long>")
 
 
 def shared_chars(df: DataFrame, id_column: str, text_column: str, length: int = 300) -> DataFrame:

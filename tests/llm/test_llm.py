@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -302,6 +303,28 @@ def test_shared_as_brute_force(spark, monkeypatch, length):
     assert spans.shared_chars(df.filter("false"), "doc_id", "text", length).collect() == []
 
 
+def test_a_passage_in_every_document_loads_no_bucket():
+    """What goes to each bucket, by blocks as tasks send them."""
+    rng = np.random.default_rng(3)
+    passage = "".join(map(chr, rng.integers(97, 123, 2_000)))
+    docs = [passage + "".join(map(chr, rng.integers(97, 123, 2_000))) for _ in range(600)]
+    load = np.zeros(12, np.int64)
+    for run in (spans._anchors(300, 12), spans._windows(300, 12)):
+        for k in range(0, 600, 100):
+            marks = [spans.keyed(rolling.window_hashes(p, a := spans._anchor_places(len(p), 300), spans.plan(300)[0]), 12).view(np.int64)[: len(a) // 2] for p in (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in docs[k : k + 100])]
+            b = pa.record_batch({"doc": pa.array(range(k, k + 100), pa.int64()), "text": pa.array(docs[k : k + 100]), "marks": pa.array(marks, pa.list_(pa.int64()))})
+            for out in run(iter([b])):
+                np.add.at(load, out.column("bucket").to_numpy(), out.column("n").to_numpy())
+        assert load.max() < 1.3 * load.mean()
+
+
+def test_equal_first_hashes_alone_share_nothing():
+    h, g = np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    doc, start = np.array([1, 2, 3, 1]), np.array([10, 20, 30, 40])
+    keep, found = spans.combine(h, g, doc, start, np.zeros(4, np.uint8), False)
+    assert sorted(found[1].tolist()) == [1, 3] and sorted(zip(keep[0].tolist(), keep[1].tolist())) == [(5, 1), (5, 2), (7, 1)]
+
+
 @pytest.mark.parametrize("q", [2, 3, 5, 7, 11, 13])
 def test_difference_sets(q):
     d, p = spans.difference_set(q), q * q + q + 1
