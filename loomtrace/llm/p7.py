@@ -27,16 +27,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def _redacted(spark: SparkSession, folder: str, style: str) -> DataFrame:
     t = Tables(spark, folder)
     texts = t.fragments.select(*_KEYS, "frag_text")
-    return redact(texts, "frag_text", read_lexicon(t.name_parts), KEY, style).distinct()
+    return redact(texts, "frag_text", read_lexicon(t.name_parts), KEY, style)
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fragment with placeholders."""
+    """Every row of fragments with placeholders."""
     return _redacted(spark, folder, "placeholder")
 
 
 def p7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fragment with surrogates."""
+    """Every row of fragments with surrogates."""
     return _redacted(spark, folder, "surrogate")
 
 
