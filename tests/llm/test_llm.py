@@ -236,19 +236,66 @@ def test_leaks_as_brute_force(spark, n):
     assert leaks.leaked_runs(df, q.filter("false"), n).collect() == [] == leaks.leaked_runs(df.filter("false"), q, n).collect()
 
 
-def test_grid_and_subsequences():
+def test_grid_and_balls_and_subsequences():
     rng = np.random.default_rng(0)
-    v = rng.standard_normal((300, 6)).astype(np.float32)
-    v = np.concatenate([v, v[:50] + 0.01, np.full((2, 6), np.nan)]).astype(np.float32)
+    v = rng.standard_normal((300, 8)).astype(np.float32)
+    v = np.concatenate([v, v[:50] + 0.01, np.full((2, 8), np.nan)]).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    for c in (0.9, 0.999):
-        a, b = leaks.Grid(v, c).pairs(v[:120])
+    for c in (0.5, 0.9, 0.999):
         want = {(i, j) for i, j in zip(*np.nonzero(v[:120] @ v.T >= c))}
-        assert want <= set(zip(a.tolist(), b.tolist()))
+        grid = leaks.Grid(v, c)
+        a, b = grid.pairs(v[:120])
+        assert want <= set(zip(a.tolist(), b.tolist())) and len(a) == len(set(zip(a.tolist(), b.tolist())))
+        got = {(int(i), int(j)) for a, b, _ in leaks.Balls(v, c).pairs(v[:120]) for i, j in zip(a, b)}
+        assert want <= got and all(v[i] @ v[j] > c - 1e-3 for i, j in got)
+    assert len(leaks.Grid(v, 0.999).which) < 20 * len(v)
+    assert list(leaks.Balls(v[:0], 0.9).pairs(v)) == []
     x, y = np.array([[1, 2, 3, 4]]), np.array([[2, 9, 4, 3]])
     assert leaks.longest_common_subsequence(x, y).tolist() == [2]
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
+    words = [[f"w{i}x{j}" for j in range(15)] for i in range(5)]
+    df = spark.createDataFrame([(i, " ".join(["start", *w, "end"])) for i, w in enumerate(words)], "doc_id long, text string")
+    q = spark.createDataFrame([(10 + i, " ".join(w), None) for i, w in enumerate(words)], "item_id long, passage string, answer string")
+    want = {(i, 10 + i) for i in range(5)}
+    assert {tuple(r) for r in leaks.leaked_runs(df, q, 12).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks.paraphrases(df, q).collect()} == want
+
+
+def test_recall_of_each_reshaping(spark):
+    """At least nine in ten passages are found, whatever was done to them and wherever they stand."""
+    rng = random.Random(11)
+    vocab = [f"v{min(rng.randrange(900), rng.randrange(900))}" for _ in range(4000)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(17, 35))]) for i in range(30)]
+
+    def fill(n):
+        return [rng.choice(vocab) for _ in range(n)]
+
+    def some(w, share):
+        return [rng.choice(vocab) if rng.random() < share else x for x in w]
+
+    styles = {
+        "middle": lambda w: fill(70) + some(w, 0.13) + fill(70), "end": lambda w: fill(75) + some(w, 0.13), "start": lambda w: some(w, 0.13) + fill(75), "alone": lambda w: some(w, 0.13),
+        "halves swapped": lambda w: fill(50) + w[len(w) // 2 :] + w[: len(w) // 2] + fill(50), "three quarters": lambda w: fill(rng.randrange(30, 60)) + w[: -(-len(w) * 3 // 4)] + fill(40),
+        "three quarters at the end": lambda w: fill(60) + w[len(w) // 4 :], "three quarters alone": lambda w: w[: -(-len(w) * 3 // 4)], "words put in": lambda w: fill(40) + [y for x in w for y in ([x, rng.choice(vocab)] if rng.random() < 0.2 else [x])] + fill(40),
+    }
+    docs, planted = [(i, " ".join(fill(rng.randrange(120)))) for i in range(200)], {}
+    for style, change in styles.items():
+        for _ in range(30):
+            item, w = rng.choice(items)
+            planted[1000 + len(docs)] = (style, item)
+            docs.append((1000 + len(docs), " ".join(change(w))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(w), w[3]) for i, w in items], "item_id long, passage string, answer string")
+    got = {(r.doc_id, r.item_id) for r in leaks.paraphrases(df, q).collect()}
+    for style in styles:
+        of = [(d, i) for d, (s, i) in planted.items() if s == style]
+        assert sum(x in got for x in of) >= 0.9 * len(of), style
+    assert sum(d < 1000 for d, _ in got) <= 2
+
+
 def test_paraphrase(spark):
     p = "the quick brown fox jumps over the lazy dog near the old river bank today"
     df = spark.createDataFrame([(1, "intro words here " + p.replace("lazy ", "") + " and rest"), (2, "other things entirely " * 9), (3, None)], "doc_id long, text string")
