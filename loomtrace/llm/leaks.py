@@ -33,15 +33,15 @@ FEATURES, COLUMNS, DIMENSIONS, PASSAGE = 1 << 14, 24, 16, 32
 #: The same for reshaped passages, whose windows must be told apart at a lower cosine.
 WIDE_COLUMNS, WIDE_DIMENSIONS = 64, 48
 #: Cosine that equal windows surely reach in single precision, and coordinates that span the grid.
-EQUAL, GRID = 0.9995, 6
+EQUAL, GRID = 0.9995, 12
 #: Items that are searched in one pass over the documents; more items take more passes.
 BLOCK_ITEMS = 20_000
 _BATCH = 2_000_000
 _ROWS = 1_024
 #: Hashed words by which most candidates are told apart from a passage before the longest common subsequence is sought.
 _MARKS = 1_024
-#: Words and candidates that a search for reshaped passages works on at once.
-_WORDS, _CANDIDATES = 32_768, 2_048
+#: Words and candidates that a search for reshaped passages works on at once, and candidates of a search in a grid.
+_WORDS, _CANDIDATES, _FILED = 32_768, 2_048, 500_000
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +183,18 @@ class Grid:
             code = self._step(code, np.floor(np.where(none, 0, v[:, k]) / self.cell).astype(np.int64))
         lo, hi = np.searchsorted(self.codes, code), np.searchsorted(self.codes, code, side="right")
         n = np.where(none, 0, hi - lo)
-        a = np.repeat(np.arange(len(v)), n)
-        b = self.which[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        near = np.einsum("ij,ij->i", v[a], self.vectors[b]) >= self.cosine
-        a, b = a[near], b[near]
+        end = np.cumsum(n)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = 0
+        while at < len(v):
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + _FILED, side="right")))
+            m = n[at:to]
+            a = np.repeat(np.arange(at, to), m)
+            b = self.which[np.repeat(lo[at:to], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            near = np.einsum("ij,ij->i", v[a], self.vectors[b]) >= self.cosine
+            found.append((a[near], b[near]))
+            at = to
+        a, b = (np.concatenate(x) for x in zip(*found))
         if none.any() and len(self.lost):
             a = np.concatenate([a, np.repeat(np.flatnonzero(none), len(self.lost))])
             b = np.concatenate([b, np.tile(self.lost, int(none.sum()))])
