@@ -10,8 +10,10 @@ from datetime import datetime, timezone
 from json.decoder import scanstring
 from typing import Any
 
+import xxhash
+
 _STAMP = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
-_EPOCH = re.compile(r"1[0-9]{12}")
+_NUMBER = re.compile(r"-?[0-9]{1,19}(?:\.[0-9]{1,9})?")
 
 
 def _reject(name: str) -> None:
@@ -137,17 +139,20 @@ def json_type(value: Any) -> str:
     return "object" if isinstance(value, dict) else "array"
 
 
-def epoch_ms(value: Any) -> int | None:
-    """Milliseconds since 1970 of an ISO stamp (without zone: UTC), of a number of milliseconds, or of its digits."""
+def _number(value: Any) -> int | float | None:
+    """The number that a value is or writes; None for booleans and all else."""
     if isinstance(value, bool):
         return None
     if isinstance(value, (int, float)):
-        return int(value) if math.isfinite(value) and 1e12 <= value < 2e12 else None
-    if not isinstance(value, str):
-        return None
-    if _EPOCH.fullmatch(value):
-        return int(value)
-    if not _STAMP.match(value):
+        return value if math.isfinite(value) else None
+    if isinstance(value, str) and _NUMBER.fullmatch(value):
+        return float(value) if "." in value else int(value)
+    return None
+
+
+def _stamp_ms(value: Any) -> int | None:
+    """Milliseconds since 1970 of an ISO stamp (without zone: UTC)."""
+    if not isinstance(value, str) or not _STAMP.match(value):
         return None
     try:
         at = datetime.fromisoformat(value)
@@ -157,6 +162,28 @@ def epoch_ms(value: Any) -> int | None:
     return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // _MS
 
 
+def instants(value: Any) -> list[int]:
+    """The milliseconds since 1970 that a value may stand for: an ISO stamp for one; a number, or its digits, for so
+    many seconds, milliseconds, microseconds or nanoseconds, whichever they are."""
+    ms = _stamp_ms(value)
+    if ms is not None:
+        return [ms]
+    x = _number(value)
+    if x is None:
+        return []
+    return list(dict.fromkeys([round(x * 1000), math.floor(x), math.floor(x / 1000) if isinstance(x, float) else x // 1000, math.floor(x / 1_000_000) if isinstance(x, float) else x // 1_000_000]))
+
+
+def epoch_ms(value: Any) -> int | None:
+    """The one of its instants that the size of a number makes likely: below 10^11 seconds, below 10^14 milliseconds,
+    below 10^17 microseconds, else nanoseconds."""
+    ms = instants(value)
+    if len(ms) < 2:
+        return ms[0] if ms else None
+    size = abs(_number(value) or 0)
+    return round(_number(value) * 1000) if size < 1e11 else int(_number(value) // (1 if size < 1e14 else 1000 if size < 1e17 else 1_000_000))
+
+
 _MS = datetime(1970, 1, 1, 0, 0, 0, 1000) - datetime(1970, 1, 1)
 
 
@@ -174,13 +201,17 @@ def scalars(value: Any) -> Iterator[Any]:
 
 
 def forms(value: Any) -> list[str]:
-    """What a value may be compared by: its own text and instant, those of what it wraps, and a list as a path."""
+    """What a value may be compared by: its own text and instants, those of what it wraps, and a list as a path."""
     out: dict[str, None] = {}
     for x in scalars(value):
         out["true" if x is True else "false" if x is False else str(x)] = None
-        ms = epoch_ms(x)
-        if ms is not None:
+        for ms in instants(x):
             out[f"@{ms}"] = None
     if isinstance(value, list) and value and all(isinstance(x, str) for x in value):
         out["/" + "/".join(value).lstrip("/")] = None
     return list(out)
+
+
+def sketch(value: Any) -> list[int]:
+    """The forms of a value, hashed to 64 bits as Spark's xxhash64 hashes strings."""
+    return [h - (1 << 64) if (h := xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42)) >> 63 else h for f in forms(value)]

@@ -1,8 +1,9 @@
 """Schemas that drift between files: detect added, renamed, removed and retyped fields, then unify them.
 
 Records are profiled in one pass. Records with the same set of missing and foreign fields form a version of a file.
-Each version is matched with the baseline: a bipartite matching of its missing required fields with its foreign
-fields, weighed by the values they share with a reference (value sketches of hashed forms), by type and by name.
+Each version is matched with the version that the baseline describes: a bipartite matching of its missing required
+fields with its foreign fields, weighed by the values they share with a reference, by type and by name. Values travel as
+sketches, 64-bit hashes of the forms they may be compared by. unify() then gives one table, a typed column a field.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import whole_groups
 from ..functions.joins import salted_join
-from ..functions.jsonvalues import forms, json_type, parse_record
+from ..functions.jsonvalues import epoch_ms, json_type, parse_record, scalars, sketch, written
 
 _RECORD = pa.schema(
     [
@@ -26,13 +27,13 @@ _RECORD = pa.schema(
         ("line_no", pa.int32()),
         ("record_kind", pa.string()),
         ("version", pa.string()),
-        ("refs", pa.list_(pa.string())),
+        ("refs", pa.list_(pa.int64())),
         ("missing", pa.list_(pa.string())),
-        ("extras", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("forms", pa.list_(pa.string()))]))),
+        ("extras", pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("forms", pa.list_(pa.int64()))]))),
         ("retyped", pa.list_(pa.string())),
     ]
 )
-_RECORD_DDL = "file_id long, line_no int, record_kind string, version string, refs array<string>, missing array<string>, extras array<struct<name:string,kind:string,forms:array<string>>>, retyped array<string>"
+_RECORD_DDL = "file_id long, line_no int, record_kind string, version string, refs array<long>, missing array<string>, extras array<struct<name:string,kind:string,forms:array<long>>>, retyped array<string>"
 
 Baseline = dict[str, dict[str, tuple[str, bool]]]
 #: A baseline has so many fields at most; it is a parameter and goes into the plan.
@@ -63,8 +64,8 @@ def shape_of(record: dict[str, Any], base: dict[str, tuple[str, bool]]) -> tuple
 def profile(lines: DataFrame, baseline: Baseline, ref_field: str = "id") -> DataFrame:
     """One row per valid record of lines (file_id, line_no, raw_text); line 1 is a header, others are entries.
 
-    refs: what the record may be called by in the reference: its own ref_field or, if that is missing, any value that
-    its foreign fields hold. A null file_id, line_no or text gives no row.
+    refs: sketches of what the record may be called by in the reference: its own ref_field or, if that is missing, any
+    value that its foreign fields hold. A null file_id, line_no or text gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +79,11 @@ def profile(lines: DataFrame, baseline: Baseline, ref_field: str = "id") -> Data
                 base = baseline[kind]
                 missing, extras = shape_of(record, base)
                 wide = bool(missing)
-                foreign = [{"name": x, "kind": json_type(record[x]), "forms": forms(record[x]) if wide else []} for x in extras]
+                foreign = [{"name": x, "kind": json_type(record[x]), "forms": sketch(record[x]) if wide else []} for x in extras]
                 if not wide or kind == "header":
                     refs = []
                 elif ref_field in record:
-                    refs = forms(record[ref_field])
+                    refs = sketch(record[ref_field])
                 else:
                     refs = [v for x in foreign for v in x["forms"]]
                 retyped = [x for x, v in record.items() if x in base and v is not None and json_type(v) != base[x][0]]
@@ -93,26 +94,38 @@ def profile(lines: DataFrame, baseline: Baseline, ref_field: str = "id") -> Data
     return lines.select("file_id", "line_no", "raw_text").mapInArrow(run, _RECORD_DDL)
 
 
+def hashed(texts: F.Column) -> F.Column:
+    """The sketch of an array of forms."""
+    return F.transform(texts, lambda x: F.xxhash64(x))
+
+
 def evidence(records: DataFrame, header_truth: DataFrame, entry_truth: DataFrame, ref_field: str = "id") -> DataFrame:
     """Which foreign field of a record holds the value that a missing field ought to have.
 
-    header_truth: file_id, field_name, form. entry_truth: file_id's key session_id, ref, field_name -> form, as
-    columns session_id, ref, truths (map from field name to an array of forms). Result: file_id, line_no,
-    record_kind, version, field_name, name (null if no foreign field holds the value), kind.
+    header_truth: file_id, session_id, field_name, truth (an array of forms). entry_truth: session_id, ref, truths (map
+    from field name to an array of forms). Result: file_id, line_no, record_kind, version, field_name, name (null where
+    only the value that ought to be there is known), kind.
+
+    Everything joined is slim: the values to find as one hash a row, and those that foreign fields hold likewise.
     """
+    key = ["file_id", "line_no", "version"]
     lacking = records.filter(F.size("missing") > 0)
-    wanted = lacking.filter("record_kind = 'header'").select("file_id", "line_no", "record_kind", "version", "extras", F.explode("missing").alias("field_name"))
-    h = salted_join(wanted, header_truth, ["file_id", "field_name"], ["line_no"]).select("file_id", "line_no", "record_kind", "version", "extras", "field_name", F.col("truth"))
-    e = lacking.filter("record_kind = 'entry'")
+    wanted = lacking.filter("record_kind = 'header'").select(*key, "record_kind", F.explode("missing").alias("field_name"))
+    truth = header_truth.select("file_id", "field_name", hashed(F.col("truth")).alias("truth"))
+    h = salted_join(wanted, truth, ["file_id", "field_name"], ["line_no"]).select(*key, "record_kind", "field_name", "truth")
+    e = lacking.filter("record_kind = 'entry'").select(*key, "record_kind", "missing", F.array_distinct("refs").alias("refs"))
     e = salted_join(e, header_truth.filter("field_name = 'sessionId'").select("file_id", "session_id").distinct(), ["file_id"], ["line_no"])
-    e = e.withColumn("ref", F.explode(F.array_distinct("refs"))).join(entry_truth, ["session_id", "ref"])
+    known = entry_truth.select("session_id", F.xxhash64("ref").alias("ref"), F.transform_values("truths", lambda _, x: hashed(x)).alias("truths"))
+    e = e.select(*key, "record_kind", "missing", "session_id", F.explode("refs").alias("ref")).join(known, ["session_id", "ref"])
     e = e.withColumn("field_name", F.explode("missing"))
     truth = F.when(F.col("field_name") == ref_field, F.array("ref")).otherwise(F.col("truths")[F.col("field_name")])
-    e = e.select("file_id", "line_no", "record_kind", "version", "extras", "field_name", truth.alias("truth")).filter("truth IS NOT NULL")
-    held = F.filter("extras", lambda x: F.arrays_overlap(x["forms"], F.col("truth")))
-    found = F.transform(held, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind")))
-    both = h.unionByName(e).select("file_id", "line_no", "record_kind", "version", "field_name", F.explode_outer(found).alias("x"))
-    return both.select("file_id", "line_no", "record_kind", "version", "field_name", "x.name", "x.kind")
+    e = e.select(*key, "record_kind", "field_name", truth.alias("truth")).filter("truth IS NOT NULL")
+    want = h.unionByName(e)
+    have = lacking.select(*key, F.explode("extras").alias("x")).select(*key, "x.name", "x.kind", F.explode("x.forms").alias("form"))
+    held = want.select(*key, "record_kind", "field_name", F.explode("truth").alias("form")).join(have.distinct(), [*key, "form"])
+    columns = ["file_id", "line_no", "record_kind", "version", "field_name", "name", "kind"]
+    none = F.lit(None).cast("string")
+    return want.withColumns({"name": none, "kind": none}).select(*columns).unionByName(held.select(*columns))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -223,3 +236,98 @@ def _of_version(facts: list[dict], base: dict[str, tuple[str, bool]]) -> Iterato
         yield {"field_name": f, "change_kind": "retyped", "new_name": None}
     for g in sorted(extras - named):
         yield {"field_name": g, "change_kind": "added", "new_name": None}
+
+
+def _text(value: Any) -> str | None:
+    """One string for a required value, however it is wrapped."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, list) and len(value) > 1 and all(isinstance(x, str) for x in value):
+        return "/" + "/".join(value).lstrip("/")
+    first = next((x for x in scalars(value) if isinstance(x, str)), None)
+    return first if first is not None else written(value)
+
+
+def _instant(value: Any) -> str | None:
+    """The instant that a value holds, as an ISO stamp; its text if it holds none."""
+    best = next((m for m in map(epoch_ms, scalars(value)) if m is not None), None)
+    try:
+        return _text(value) if best is None else pa.scalar(best, pa.timestamp("ms")).as_py().isoformat(timespec="milliseconds") + "Z"
+    except (ValueError, OverflowError):
+        return _text(value)
+
+
+def typed(value: Any, kind: str) -> Any:
+    """A value as the baseline's type has it, None where it can't be read as one: strings and numbers out of each other,
+    booleans out of their words and of 0 and 1, objects and arrays as JSON."""
+    if kind in ("object", "array"):
+        return written(value) if json_type(value) == kind else None
+    if isinstance(value, (dict, list)) or value is None:
+        return None
+    if kind == "string":
+        return value if isinstance(value, str) else written(value)
+    if kind == "boolean":
+        return value if isinstance(value, bool) else {"true": True, "false": False, "1": True, "0": False}.get(str(value).lower())
+    try:
+        return None if isinstance(value, bool) else float(value)
+    except (ValueError, OverflowError):
+        return None
+
+
+_ARROW = {"boolean": (pa.bool_(), "boolean"), "number": (pa.float64(), "double")}
+
+
+def unify(lines: DataFrame, baseline: Baseline, found: DataFrame, kind: str, stamps: frozenset[str] = frozenset()) -> DataFrame:
+    """All valid records of a kind (header: line 1, entry: the others) as one table: file_id, line_no, a column for each
+    field of the baseline, and rest.
+
+    found: changes(). A required field that a version keeps under another name, or wrapped, comes out under its own as
+    a string, those in stamps as ISO stamps; every other field has the baseline's type (objects and arrays as JSON). rest
+    maps the names of all other fields, and of fields whose value can't be read as their type, to their JSON. Repeated
+    rows give one row. Fields named file_id, line_no or rest raise ValueError.
+    """
+    base = baseline[kind]
+    if {"file_id", "line_no", "rest", "version", "foreign"} & {*base}:
+        raise ValueError("a field bears the name of another column")
+    required = [x for x, (_, need) in base.items() if need]
+    types = {x: (pa.string(), "string") if x in required else _ARROW.get(t, (pa.string(), "string")) for x, (t, _) in base.items()}
+    pairs = pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())]))
+    schema = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("version", pa.string()), *[(x, a) for x, (a, _) in types.items()], ("foreign", pa.list_(pa.struct([("name", pa.string()), ("text", pa.string()), ("stamp", pa.string())]))), ("rest", pairs)])
+    ddl = ", ".join(["file_id long, line_no int, version string", *(f"`{x}` {d}" for x, (_, d) in types.items()), "foreign array<struct<name:string,text:string,stamp:string>>", "rest array<struct<name:string,text:string>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for f, n, raw in zip(*(b.column(x).to_pylist() for x in ("file_id", "line_no", "raw_text"))):
+                r = parse_record(raw)
+                if r is None or f is None or n is None:
+                    continue
+                missing, extras = shape_of(r, base)
+                row = {"file_id": f, "line_no": n, "version": version_of(missing, extras) if missing else None}
+                rest = {x: r[x] for x in extras}
+                for x, v in r.items():
+                    if x in base:
+                        row[x] = (_instant if x in stamps else _text)(v) if x in required else typed(v, base[x][0])
+                        if row[x] is None and v is not None:
+                            rest[x] = v
+                row["foreign"] = [{"name": x, "text": _text(r[x]), "stamp": _instant(r[x])} for x in extras] if missing else []
+                row["rest"] = [{"name": x, "text": written(rest[x])} for x in sorted(rest)]
+                rows.append(row)
+            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    own = lines.filter("line_no = 1" if kind == "header" else "line_no <> 1").select("file_id", "line_no", "raw_text").distinct()
+    read = own.mapInArrow(run, ddl)
+    names = found.filter((F.col("change_kind") == "renamed") & (F.col("record_kind") == kind)).select("file_id", "version", "field_name", "new_name").distinct()
+    names = names.groupBy("file_id", "version").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_name", "new_name")))).alias("names"))
+    plain = read.filter("version IS NULL").withColumn("names", F.lit(None).cast("map<string,string>"))
+    every = plain.unionByName(read.filter("version IS NOT NULL").join(names, ["file_id", "version"], "left").select(*plain.columns))
+
+    def column(x: str) -> F.Column:
+        if x not in required:
+            return F.col(f"`{x}`")
+        there = F.filter("foreign", lambda y: y["name"] == F.col("names")[x])
+        return F.coalesce(F.col(f"`{x}`"), F.get(there, F.lit(0))["stamp" if x in stamps else "text"]).alias(x)
+
+    renamed = F.coalesce(F.map_values("names"), F.array().cast("array<string>"))
+    rest = F.map_from_entries(F.filter("rest", lambda y: ~F.array_contains(renamed, y["name"])))
+    return every.select("file_id", "line_no", *[column(x) for x in base], rest.alias("rest"))

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonvalues import epoch_ms, json_type, parse_record, scalars
 from ..functions.paths import normalized
 from ..operators import drift
 from ..session import checkpointed
@@ -18,9 +12,11 @@ from ..tables import Tables
 
 
 def _instant(c: Column) -> Column:
-    """@milliseconds of a stamp in any of its forms, null if it is none."""
-    ms = F.when(c.rlike("^1[0-9]{12}$"), c.cast("long")).otherwise(F.unix_millis(F.try_to_timestamp(c)))
-    return F.concat(F.lit("@"), ms.cast("string"))
+    """@milliseconds of a stamp in any of its forms (digits by their number), null if it is none."""
+    n, size = c.try_cast("decimal(38,0)"), F.length(F.ltrim(c, F.lit("-")))
+    ms = F.when(size <= 11, n * 1000).when(size <= 14, n).when(size <= 17, F.floor(n / 1000)).otherwise(F.floor(n / 1_000_000))
+    digits = c.rlike("^-?[0-9]{1,19}$")
+    return F.concat(F.lit("@"), F.when(digits, ms.cast("long")).otherwise(F.unix_millis(F.try_to_timestamp(F.when(~digits, c)))).cast("string"))
 
 
 def _forms(c: Column, stamp: bool) -> Column:
@@ -41,10 +37,12 @@ def truths(t: Tables, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return h, e
 
 
-def found_changes(t: Tables) -> tuple[DataFrame, drift.Baseline]:
+def found_changes(t: Tables, only: Column | None = None) -> tuple[DataFrame, drift.Baseline]:
+    """The changes of all versions, or of those whose profiled records only picks."""
     baseline = drift.read_baseline(t.baseline_fields)
     lines = t.raw_lines
-    records = checkpointed(drift.profile(lines, baseline))
+    records = drift.profile(lines, baseline)
+    records = checkpointed(records if only is None else records.filter(only))
     proof = drift.evidence(records, *truths(t, lines))
     return drift.changes(records, proof, baseline), baseline
 
@@ -54,64 +52,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("file_id", "record_kind", "field_name", "change_kind").distinct()
 
 
-def renames(c: DataFrame) -> DataFrame:
-    """file_id, record_kind, version and the map from baseline names to the names used there."""
-    r = c.filter("change_kind = 'renamed'").select("file_id", "record_kind", "version", "field_name", "new_name").distinct()
-    return r.groupBy("file_id", "record_kind", "version").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_name", "new_name")))).alias("names"))
-
-
-def _text(value: object) -> str | None:
-    """One string for a required value, however it is wrapped."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, list) and len(value) > 1 and all(isinstance(x, str) for x in value):
-        return "/" + "/".join(value).lstrip("/")
-    first = next((x for x in scalars(value) if isinstance(x, str)), None)
-    return first if first is not None else json.dumps(value) if isinstance(value, (dict, list)) else str(value)
-
-
-def _stamp(value: object) -> str | None:
-    best = next((m for m in map(epoch_ms, scalars(value)) if m is not None), None)
-    if best is None:
-        return _text(value)
-    return str(pa.scalar(best, pa.timestamp("ms")).as_py().isoformat(timespec="milliseconds")) + "Z"
-
-
-def _unified(t: Tables, kind: str, required: list[str], stamps: set[str]) -> DataFrame:
-    """Records of one kind as one table: required fields as strings, all other fields as one JSON object."""
-    c, baseline = found_changes(t)
-    names = renames(c).filter(F.col("record_kind") == kind).select("file_id", "version", "names")
-    base = baseline[kind]
-    schema = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("version", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("rest", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for f, n, text in zip(*(b.column(x).to_pylist() for x in ("file_id", "line_no", "raw_text"))):
-                r = parse_record(text)
-                if r is None or f is None or n is None:
-                    continue
-                missing, extras = drift.shape_of(r, base)
-                wanted = [*required, *(extras if missing else [])]
-                fields = [(x, v) for x in wanted if x in r and (v := (_stamp if x in stamps or (x in extras and epoch_ms(next(scalars(r[x]), None))) else _text)(r[x])) is not None]
-                rest = {x: v for x, v in r.items() if x not in required}
-                rows.append({"file_id": f, "line_no": n, "version": drift.version_of(missing, extras), "fields": fields, "rest": json.dumps(rest, ensure_ascii=False)})
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-
-    lines = t.raw_lines.filter("line_no = 1" if kind == "header" else "line_no > 1").select("file_id", "line_no", "raw_text")
-    read = lines.mapInArrow(run, "file_id long, line_no int, version string, fields map<string,string>, rest string")
-    plain = F.col("version").startswith("[[],")
-    named = read.filter(~plain).join(names, ["file_id", "version"], "left")
-    out = read.filter(plain).withColumn("names", F.lit(None).cast("map<string,string>")).unionByName(named)
-    return out.select("file_id", "line_no", *[F.coalesce(F.col("fields")[x], F.col("fields")[F.col("names")[x]]).alias(x) for x in required], "rest").distinct()
+def _unified(spark: SparkSession, folder: str, kind: str, stamp: str) -> DataFrame:
+    t = Tables(spark, folder)
+    found, baseline = found_changes(t, F.col("record_kind") == kind)
+    return drift.unify(t.raw_lines, baseline, found, kind, frozenset([stamp]))
 
 
 def p2_headers(spark: SparkSession, folder: str) -> DataFrame:
-    return _unified(Tables(spark, folder), "header", ["sessionId", "createdAt", "cwd"], {"createdAt"})
+    """Every header in the baseline's columns."""
+    return _unified(spark, folder, "header", "createdAt")
 
 
 def p2_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return _unified(Tables(spark, folder), "entry", ["id", "timestamp", "type"], {"timestamp"})
+    """Every entry in the baseline's columns."""
+    return _unified(spark, folder, "entry", "timestamp")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_headers, p2_entries)}

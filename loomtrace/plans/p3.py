@@ -14,8 +14,8 @@ from .p2 import found_changes
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    changes, baseline = found_changes(t)
-    renamed = changes.filter("record_kind = 'entry' AND change_kind = 'renamed' AND field_name = 'type'")
+    changes, baseline = found_changes(t, (F.col("record_kind") == "entry") & F.array_contains("missing", "type"))
+    renamed = changes.filter("change_kind = 'renamed' AND field_name = 'type'")
     return nested.nodes(t.raw_lines, baseline, renamed.select("file_id", "version", F.col("new_name").alias("name")))
 
 

@@ -49,6 +49,61 @@ def test_changes(spark):
     }
 
 
+def test_unified(spark):
+    f = found(spark)
+    h = [r.asDict() for r in drift.unify(frame(spark), BASE, f, "header", frozenset(["createdAt"])).collect()]
+    assert h == [{"file_id": 1, "line_no": 1, "sessionId": "s1", "createdAt": "2024-01-01T00:00:00.000Z", "cwd": "/ws/a", "parentSession": None, "rest": {"more": "1"}}]
+    e = {r.line_no: r for r in drift.unify(frame(spark), BASE, f, "entry", frozenset(["timestamp"])).collect()}
+    assert sorted(e) == [2, 3, 4, 5]
+    assert (e[2].id, e[2].timestamp, e[2].type, e[2].text, e[2].rest) == ("e1", "2024-01-01T00:00:00.000Z", "user", "hi", {})
+    assert (e[3].id, e[3].timestamp, e[3].type, e[3].result, e[3].rest) == ("e2", "2024-01-01T00:00:01.000Z", "tool_result", "x", {})
+    assert (e[4].type, e[4].rest, e[5].text) == (None, {"label": "null"}, "5")
+    with pytest.raises(ValueError):
+        drift.unify(frame(spark), {"header": {"rest": ("string", True)}}, f, "header")
+
+
+def test_typed_values():
+    assert [drift.typed(v, "boolean") for v in (True, "FALSE", 1, "x", None, [])] == [True, False, True, None, None, None]
+    assert [drift.typed(v, "number") for v in (1, "2.5", True, "x", {})] == [1.0, 2.5, None, None, None]
+    assert [drift.typed(v, "object") for v in ({"b": 1, "a": "é"}, [1], "x")] == ['{"a": "é", "b": 1}', None, None]
+    assert [drift.typed(v, "string") for v in ("x", 1, True, {"a": 1})] == ["x", "1", "true", None]
+
+
+@pytest.mark.parametrize("unit", [1, 1_000, 1_000_000, 1_000_000_000])
+@pytest.mark.parametrize("second", [0, 86_400, 499_999_999, 1_704_067_200, 4_102_444_800])
+def test_instants_in_any_unit_and_year(unit, second):
+    for x in (second * unit, str(second * unit), float(second * unit)):
+        assert second * 1000 in jsonvalues.instants(x)
+    assert jsonvalues.instants(True) == jsonvalues.instants("x1") == jsonvalues.instants(float("nan")) == []
+    if second > 200_000_000:
+        assert jsonvalues.epoch_ms(second * unit) == second * 1000
+
+
+def test_stamps_as_seconds_and_microseconds_are_renamed(spark):
+    rows = [(1, 1, {"sessionId": "s1", "createdAt": "2024-01-01T00:00:00Z", "cwd": "/a"}), (1, 2, {"id": "e1", "type": "user", "sec": 1704067200}), (1, 3, {"id": "e2", "type": "user", "us": "1704067201000000"})]
+    lines = spark.createDataFrame([(f, n, json.dumps(x)) for f, n, x in rows], "file_id long, line_no int, raw_text string")
+    r = drift.profile(lines, BASE)
+    got = {(x.field_name, x.change_kind, x.new_name) for x in drift.changes(r, drift.evidence(r, *truth(spark)), BASE).collect()}
+    assert got == {("timestamp", "renamed", "sec"), ("timestamp", "retyped", "sec"), ("timestamp", "renamed", "us")}
+
+
+def test_wide_records_stay_linear(spark):
+    """A record without id whose foreign fields hold many values: rows go with the values, not with their square."""
+    wide = {"timestamp": "2024-01-01T00:00:00Z", "type": "user", "eid": "e1"} | {f"x{i}": [f"v{i}_{j}" for j in range(10)] for i in range(300)}
+    lines = spark.createDataFrame([(1, 1, '{"sessionId":"s1","createdAt":"2024-01-01T00:00:00Z","cwd":"/a"}'), (1, 2, json.dumps(wide))], "file_id long, line_no int, raw_text string")
+    r = drift.profile(lines, BASE)
+    proof = drift.evidence(r, *truth(spark))
+    assert {(x.field_name, x.name) for x in proof.collect()} == {("id", None), ("id", "eid")}
+
+
+def test_sketches_as_spark_hashes(spark):
+    from pyspark.sql import functions as F
+
+    for v in ("a", "", "é🙂", "x" * 200):
+        h = jsonvalues.sketch(v)
+        assert h == [r[0] for r in spark.createDataFrame([(f,) for f in jsonvalues.forms(v)], "f string").select(F.xxhash64("f")).collect()]
+
+
 def test_empty(spark):
     lines = frame(spark).filter("false")
     r = drift.profile(lines, BASE)
@@ -87,6 +142,14 @@ def test_deep_nesting_is_defined(spark):
     assert {r.line_no for r in nested.nodes(lines, BASE).collect()} >= {3}
 
 
+def test_the_automaton_reads_its_table():
+    assert nested.VARIANT_OF["message", nested.RESULT_ROLE] == nested.RESULT and nested.VARIANT_OF["message", 0] == nested.MESSAGE
+    call = nested._marks_of({"name": None, "arguments": [], "id": "x", "toolCallId": 5})
+    assert all(nested.VARIANT_OF[e, call] == nested.CALL for e in (nested.ELSEWHERE, "message", "content[]", "toolResults[]"))
+    assert nested.VARIANT_OF[nested.ELSEWHERE, nested._marks_of({"name": "n", "arguments": 1, "id": 5})] is None
+    assert nested.VARIANT_OF["content[]", nested._marks_of({"type": "thinking"})] == nested.THINKING and nested.VARIANT_OF["content[]", nested._marks_of({"type": 1})] is None
+
+
 @pytest.mark.parametrize("depth", [3, 20_000, 100_000])
 def test_calls_in_deep_records_are_found(depth):
     call = '{"id":"c2","name":"n","arguments":' + '{"x":[' * depth + '{"id":"c3","name":"n","arguments":[1,-2.5e1,"\\u00e9",null,true,{}]}' + "]}" * depth + "}"
