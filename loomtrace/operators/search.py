@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -141,7 +142,10 @@ def event_filter(r: Request) -> Column:
 
 
 def matches(store: Store, q: Query, r: Request) -> DataFrame:
-    """The fragments that pass the request's fragment filters and hold every sequence: tf_0.., length, score."""
+    """The fragments that pass the request's fragment filters and hold every sequence: session_id, entry_id,
+    fragment_id, semantic_kind, tool_name, is_error, frag_ord, tf_0.., score; frag_text too where texts were read."""
+    if store.postings is not None:
+        return _listed(store, q, r)
     s = read_statistics(store.fragments, q.sequences)
     cheap = F.lit(True)
     for sequence in q.sequences:  # ASCII tokens of plain texts can be looked for before anything is cut into tokens
@@ -156,6 +160,49 @@ def matches(store: Store, q: Query, r: Request) -> DataFrame:
     return f.withColumn("score", score([F.col(f"tf_{i}") for i in range(len(tf))], F.size("tokens"), q, s)).drop("tokens")
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - F.lit(by))
+
+
+def lists(store: Store, sequences: Sequence[tuple[str, ...]]) -> DataFrame:
+    """The fragments that hold a token of the sequences, out of its posting list, with tf_0.. of the sequences. Only
+    the lists' buckets are read."""
+    from ..index import BUCKETS
+
+    want = list(dict.fromkeys(t for s in sequences for t in s))
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in want})
+    p = store.postings.filter(F.col("tb").isin(*buckets) & F.col("token").isin(*want))
+    keep = ["entry_id", "fragment_id", "semantic_kind", "tool_name", "is_error", "frag_ord", "n_tokens"]
+    at = {t: f"at_{i}" for i, t in enumerate(want)}
+    if len(want) == 1:
+        p = p.select("session_id", "fk", *keep, F.col("positions").alias("at_0"))
+    else:
+        p = p.groupBy("session_id", "fk").agg(*[F.first(c).alias(c) for c in keep], *[F.max(F.when(F.col("token") == t, F.col("positions"))).alias(c) for t, c in at.items()])
+
+    def places(sequence: tuple[str, ...]) -> Column:
+        out = F.col(at[sequence[0]])
+        for k, t in enumerate(sequence[1:], 1):
+            out = F.array_intersect(out, _moved(F.col(at[t]), k))
+        return F.coalesce(F.size(out), F.lit(0))
+
+    p = p.withColumns({f"tf_{i}": F.when(places(s).isNull() | (places(s) < 0), 0).otherwise(places(s)) for i, s in enumerate(sequences)})
+    return p.drop(*at.values())
+
+
+def _listed(store: Store, q: Query, r: Request) -> DataFrame:
+    """matches() out of posting lists."""
+    own = list(dict.fromkeys(q.sequences))
+    hits = lists(store, own)
+    having = hits.agg(*[F.coalesce(F.sum((F.col(f"tf_{i}") > 0).cast("long")), F.lit(0)).alias(f"df_{i}") for i in range(len(own))]).first()
+    n, total = store.sizes
+    s = Statistics(n, total / n if n else 0.0, {x: having[f"df_{i}"] for i, x in enumerate(own)})
+    f = hits.filter(fragment_filter(r))
+    for i in range(len(own)):
+        f = f.filter(F.col(f"tf_{i}") > 0)
+    f = f.withColumns({f"tf_{i}": F.col(f"tf_{own.index(x)}") for i, x in enumerate(q.sequences)})
+    return f.withColumn("score", score([F.col(f"tf_{i}") for i in range(len(q.sequences))], F.col("n_tokens"), q, s)).drop("n_tokens")
+
+
 #: The columns of a hit.
 HIT = ["session_id", "session_name", "cwd", "entry_id", "entry_type", "fragment_id", "semantic_kind", "entry_ts", "branch_state", "selection_state", "snippet", "n_fragments", "score"]
 
@@ -184,11 +231,27 @@ def search(store: Store, r: Request, root: str = "/", execution: Execution | Non
     f = f.join(allowed.select("session_id", "session_name", "cwd"), "session_id")
     rank = F.struct("score", "semantic_kind", "frag_ord", "fragment_id")
     keep = ["session_name", "cwd", "entry_type", "entry_ts", "branch_state", "selection_state", "append_seq"]
+    of = "fk" if store.postings is not None else "frag_text"
     best = f.groupBy("session_id", "entry_id").agg(
-        F.min_by(F.struct("fragment_id", "semantic_kind", "frag_text", "score", "frag_ord"), rank).alias("b"), F.count("*").alias("n_fragments"), *[F.first(c).alias(c) for c in keep]
+        F.min_by(F.struct("fragment_id", "semantic_kind", of, "score", "frag_ord"), rank).alias("b"), F.count("*").alias("n_fragments"), *[F.first(c).alias(c) for c in keep]
     )
-    best = best.orderBy(F.col("b.score"), "session_id", "append_seq", "b.semantic_kind", "b.frag_ord")
+    order = [F.col("score"), "session_id", "append_seq", "semantic_kind", "frag_ord"]
+    best = best.select("session_id", "entry_id", "n_fragments", *keep, "b.*")
+    if limit is not None:
+        best = best.orderBy(*order).limit(limit)
+    if of == "fk":
+        best = _with_texts(store, best, limit)
+    text = snippet(F.col("frag_text"), [*q.terms, *q.phrases])
+    best = best.orderBy(*order)
+    return best.select("session_id", "session_name", "cwd", "entry_id", "entry_type", "fragment_id", "semantic_kind", "entry_ts", "branch_state", "selection_state", text.alias("snippet"), "n_fragments", "score")
+
+
+def _with_texts(store: Store, best: DataFrame, limit: int | None) -> DataFrame:
+    """The hits with frag_text. A limited number of hits comes to the driver, so that only their sessions' parts of the
+    fragments are read."""
+    texts = store.fragments.select("session_id", "fk", "frag_text")
     if limit is not None:
-        best = best.limit(limit)
-    text = snippet(F.col("b.frag_text"), [*q.terms, *q.phrases])
-    return best.select("session_id", "session_name", "cwd", "entry_id", "entry_type", "b.fragment_id", "b.semantic_kind", "entry_ts", "branch_state", "selection_state", text.alias("snippet"), "n_fragments", "b.score")
+        rows = best.collect()
+        best = store.sessions.sparkSession.createDataFrame(rows, best.schema)
+        texts = texts.filter(F.col("session_id").isin(*{r.session_id for r in rows}) & F.col("fk").isin(*{r.fk for r in rows})) if rows else texts.filter("false")
+    return best.join(texts, ["session_id", "fk"])

@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..functions.tokens import tokens_sql
+from ..index import Index
+from ..session import scratch
 from ..store import Store, from_tables
 from ..tables import Tables
 from ..functions.text import OMITTED
 
 
 def store(spark: SparkSession, folder: str) -> Store:
+    """The store of a folder's tables, computed anew."""
     return from_tables(Tables(spark, folder))
 
 
+_INDEXES: dict[tuple[str, ...], Index] = {}
+
+
+def indexed(spark: SparkSession, folder: str) -> Store:
+    """The store of a folder's tables out of a saved index, which the first search of a session builds, and builds
+    again where the tables' files have changed."""
+    jvm = spark._jvm
+    key = [spark.sparkContext.applicationId, folder]
+    for table in ("sessions", "entries", "fragments"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}.parquet")
+        s = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+        key += [str(s.getLength()), str(s.getFileCount()), str(at)]
+    if tuple(key) not in _INDEXES:
+        index = Index(spark, scratch(spark, "index"))
+        index.apply(store(spark, folder))
+        _INDEXES[tuple(key)] = index
+    return _INDEXES[tuple(key)].store()
+
+
 _HEAD = -(-(10_000 - len(OMITTED)) // 2)
 _TAIL = (10_000 - len(OMITTED)) // 2
 _MARK = "'" + OMITTED.replace("\n", "' || chr(10) || '") + "'"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import frequency_sql, parse_query
-from ..operators.search import LIMIT, Request, matches, search, statistics, tokenized
-from .base import STATES, STORE, TOKENS, store
+from ..operators.search import LIMIT, Request, lists, matches, search, statistics
+from .base import STATES, STORE, TOKENS, indexed, store
 
 #: name -> (request, root, limit)
 REQUESTS: dict[str, tuple[Request, str, int | None]] = {
@@ -41,12 +41,18 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     r, root, limit = REQUESTS[name]
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        hits = search(store(spark, folder), r, root, limit=limit)
+        hits = search(indexed(spark, folder), r, root, limit=limit)
         return hits.withColumn("score", F.round("score", 6))
 
     return run
 
 
+def search_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A search without a saved index: over the texts as they are."""
+    r, root, limit = REQUESTS["search_terms"]
+    return search(store(spark, folder), r, root, limit=limit).withColumn("score", F.round("score", 6))
+
+
 def _quote(values: tuple[str, ...] | list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -106,21 +112,28 @@ def bm25_corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return statistics(store(spark, folder).fragments, _SEQUENCES).withColumn("mean", F.round("mean", 6))
 
 
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The same numbers out of a saved index."""
+    s = indexed(spark, folder)
+    df = lists(s, _SEQUENCES).agg(*[F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(_SEQUENCES))])
+    n, total = s.sizes
+    return df.select(F.lit(n).cast("long").alias("n"), F.round(F.lit(total / n if n else None).cast("double"), 6).alias("mean"), "*")
+
+
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """In how many fragments each token occurs, and how often."""
-    t = tokenized(store(spark, folder).fragments.select("session_id", "fragment_id", "frag_text"))
-    n = t.select("session_id", "fragment_id", F.explode("tokens").alias("token"))
-    return n.groupBy("session_id", "fragment_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    p = indexed(spark, folder).postings
+    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("cf"))
 
 
 def matching_fragments(spark: SparkSession, folder: str) -> DataFrame:
     """Every fragment that holds two terms, with their frequencies, its length and its score."""
     q = parse_query("manifest snapshot")
-    m = matches(store(spark, folder), q, Request("manifest snapshot"))
+    m = matches(indexed(spark, folder), q, Request("manifest snapshot"))
     return m.select("session_id", "fragment_id", F.col("tf_0").cast("long").alias("tf_0"), F.col("tf_1").cast("long").alias("tf_1"), F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (bm25_corpus_stats, document_frequency, matching_fragments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (search_scan, bm25_corpus_stats, index_stats, document_frequency, matching_fragments)}
 SQL = {n: _sql(n) for n in REQUESTS} | {
     "bm25_corpus_stats": f"WITH {STORE}, {TOKENS} SELECT count(*) AS n, round(avg(len(tokens)), 6) AS mean, " + ", ".join(f"sum(({frequency_sql('tokens', s)} > 0)::INT)::BIGINT AS df_{i}" for i, s in enumerate(_SEQUENCES)) + " FROM k",
     "document_frequency": f"WITH {STORE}, {TOKENS}, x AS (SELECT row_number() OVER () AS i, tokens FROM k), u AS (SELECT i, unnest(tokens) AS token FROM x), g AS (SELECT i, token, count(*) AS tf FROM u GROUP BY ALL) SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM g GROUP BY token",
@@ -131,3 +144,4 @@ SELECT session_id, fragment_id, tf_0::BIGINT AS tf_0, tf_1::BIGINT AS tf_1,
   round(-(ln((n - d0 + 0.5) / (d0 + 0.5)) * (tf_0 * 2.2) / (tf_0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln((n - d1 + 0.5) / (d1 + 0.5)) * (tf_1 * 2.2) / (tf_1 + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
 FROM c, stat WHERE tf_0 > 0 AND tf_1 > 0 AND coalesce(tool_name, '') NOT IN ('event_search', 'event_read', 'event_trace')""",
 }
+SQL["search_scan"], SQL["index_stats"] = SQL["search_terms"], SQL["bm25_corpus_stats"]

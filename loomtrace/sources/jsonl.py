@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import salted_join
@@ -20,6 +21,8 @@ from ..functions.positions import dense_position
 
 EXTENSIONS = (".jsonl",)
 HEADER_BYTES = 64 * 1024
+#: The largest file that is read as one value; Spark holds no value of 2 GiB.
+WHOLE_BYTES = 1 << 30
 _BLANK = r"^(?U)[\s\x{FEFF}]*$"
 
 
@@ -61,21 +64,71 @@ def _path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
-def read_lines(spark: SparkSession, roots: Iterable[str], extensions: Iterable[str] = EXTENSIONS) -> DataFrame:
-    """file_path, line_no (from 1), raw_text of every line below the roots; a file is read whole to keep its order."""
-    df = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=_glob(extensions))
-    df = df.select(_path(F.col("_metadata.file_path")).alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw_text"))
+def _metadata_path() -> Column:
+    """The path of a row's file as listings write it; metadata escape it."""
+    return _path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
+
+
+def read_lines(spark: SparkSession, roots: Iterable[str], extensions: Iterable[str] = EXTENSIONS, whole: int = WHOLE_BYTES) -> DataFrame:
+    """file_path, line_no (from 1), raw_text of every line below the roots. A file of up to whole bytes is read whole to
+    keep its order; the splits of a larger one are numbered each and then put one after the other."""
+    roots = list(roots)
+    df = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=_glob(extensions))
+    large = [r.file_path for r in listing(spark, roots, extensions).filter(F.col("size_bytes") > whole).select("file_path").toLocalIterator()]
+    if large:  # files of a gigabyte and more are few
+        kept = listing(spark, roots, extensions).filter(F.col("size_bytes") <= whole).select("file_path").collect()
+        df = spark.read.text([r.file_path for r in kept], wholetext=True) if kept else df.filter("false")
+    out = _numbered(df)
+    return out.unionByName(split_lines(spark, large)) if large else out
+
+
+def lines_of(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The lines of some files, columns as in read_lines."""
+    if not files:
+        return spark.createDataFrame([], "file_path string, line_no int, raw_text string")
+    return _numbered(spark.read.text(files, wholetext=True))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    df = df.select(_metadata_path().alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw_text"))
     return df.select("file_path", (F.col("i") + 1).alias("line_no"), "raw_text")
 
 
+def split_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The lines of files of any size, columns as in read_lines."""
+    df = spark.read.text(files, lineSep="\n").select(_metadata_path().alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "\r$", "").alias("raw_text"))
+    within = F.row_number().over(Window.partitionBy("file_path", "block").orderBy("row"))
+    sizes = df.groupBy("file_path", "block").agg(F.count("*").alias("n"))  # one row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before).drop("n")
+    return df.withColumn("i", within).join(sizes, ["file_path", "block"]).select("file_path", (F.col("before") + F.col("i")).cast("int").alias("line_no"), "raw_text")
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first HEADER_BYTES of each file, without reading more."""
+    from pyarrow import fs
+
+    for b in batches:
+        out = []
+        for path in b.column("file_path").to_pylist():
+            try:
+                system, at = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(at) as f:
+                    out.append(f.read(HEADER_BYTES).decode("utf-8", "replace"))
+            except OSError:
+                out.append(None)
+        yield b.append_column("head", pa.array(out, pa.string()))
+
+
 def read_headers(spark: SparkSession, roots: Iterable[str], extensions: Iterable[str] = EXTENSIONS) -> DataFrame:
-    """Header columns and error of each file, out of its first 64 KiB; bodies aren't parsed."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(extensions)).load(list(roots))
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    line = F.get(F.filter(F.split(head, "\r?\n"), lambda x: ~x.rlike(_BLANK)), F.lit(0))
-    df = df.select(_path(F.col("path")).alias("file_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), line.alias("raw_text"))
+    """Header columns and error of each file, out of its first 64 KiB; nothing more of it is read. A file that goes
+    away or can't be opened has the error unreadable."""
+    files = listing(spark, roots, extensions)
+    df = files.mapInArrow(_heads, "file_path string, size_bytes long, mtime_ms long, head string")
+    line = F.get(F.filter(F.split("head", "\r?\n"), lambda x: ~x.rlike(_BLANK)), F.lit(0))
+    df = df.withColumn("raw_text", line)
     v = F.try_parse_json("raw_text")
-    error = F.when(F.col("raw_text").isNull(), "no header").otherwise(_record_error(F.col("raw_text"), F.col("v")))
+    error = F.when(F.col("head").isNull(), "unreadable").when(F.col("raw_text").isNull(), "no header").otherwise(_record_error(F.col("raw_text"), F.col("v")))
     h = df.withColumn("v", v)
     return h.select("file_path", "size_bytes", "mtime_ms", *header_columns(F.col("v")), F.coalesce(error, header_error(F.col("v"))).alias("error"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.positions import dense_position
@@ -22,7 +22,8 @@ FRAGMENT_COLUMNS = ["session_id", "entry_id", "fragment_id", "semantic_kind", "f
 class Store:
     """sessions: session_id, created_at, cwd, parent_session, session_name, file_path. entries: session_id, entry_id,
     append_seq (dense), parent_id, entry_ts, entry_type, entry_role, context_role, first_kept_id. fragments:
-    FRAGMENT_COLUMNS and frag_ord. links: relationships that entries record. hashes: session_id, append_seq, hash."""
+    FRAGMENT_COLUMNS and frag_ord. links: relationships that entries record. hashes: session_id, append_seq, hash.
+    postings and sizes (fragments, tokens) come with a saved index; searches then read posting lists instead of texts."""
 
     sessions: DataFrame
     entries: DataFrame
@@ -30,6 +31,8 @@ class Store:
     links: DataFrame | None = None
     hashes: DataFrame | None = None
     _events: DataFrame | None = field(default=None, repr=False)
+    postings: DataFrame | None = None
+    sizes: tuple[int, int] | None = None
 
     @property
     def events(self) -> DataFrame:
@@ -38,23 +41,6 @@ class Store:
             self._events = with_states(self.entries)
         return self._events
 
-    def save(self, folder: str, buckets: int | None = None) -> None:
-        """Write the store as Parquet, rows of a session together, states included."""
-        for name, df in (("sessions", self.sessions), ("events", self.events), ("fragments", self.fragments), ("links", self.links), ("hashes", self.hashes)):
-            if df is not None:
-                df.repartition(*([buckets] if buckets else []), "session_id").sortWithinPartitions("session_id").write.mode("overwrite").parquet(f"{folder}/{name}")
-
-    @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> Store:
-        """A saved store."""
-        read = {n: spark.read.parquet(f"{folder}/{n}") for n in ("sessions", "events", "fragments", "links", "hashes") if _exists(spark, f"{folder}/{n}")}
-        return cls(read["sessions"], read["events"], read["fragments"], read.get("links"), read.get("hashes"), read["events"])
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
 
 def frag_ord(fragment_id: Column) -> Column:
     """Place of a fragment among those of its kind, out of its id entry::kind::place; 0 if it has none."""
