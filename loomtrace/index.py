@@ -24,16 +24,16 @@ from .operators.incremental import Conflict
 from .session import checkpointed
 from .store import FRAGMENT_COLUMNS, Store, index_text
 
-#: Buckets of posting lists by token, and parts of a bucket by fragment, so that no token's list is one task's.
-BUCKETS, PARTS = 64, 8
+#: Buckets of posting lists by token (of an index that names no other number), and parts of a bucket by fragment, so that no token's list is one task's.
+BUCKETS, PARTS = 32, 8
 _POSTING = "session_id string, entry_id string, fragment_id string, semantic_kind string, tool_name string, is_error boolean, frag_ord int, fk long, n_tokens int, token string, positions array<int>"
 _KEPT = ["session_id", "entry_id", "fragment_id", "semantic_kind", "tool_name", "is_error", "frag_ord", "fk"]
 _WHOLE = ("sessions", "events", "links", "hashes", "sources")
 _LIVE = "session_id string, base int, at int, n_fragments long, n_tokens long"
 
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
+def bucket_of(token: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def with_key(fragments: DataFrame) -> DataFrame:
@@ -67,11 +67,18 @@ def postings_of(fragments: DataFrame) -> DataFrame:
     return fragments.select(*_KEPT, tokens(index_text()).alias("tokens")).mapInArrow(run, _POSTING)
 
 
+def sessions_of(store: Store) -> DataFrame:
+    """session_id of all sessions that a store has rows of, with a header or without."""
+    every = [x.select("session_id").distinct() for x in (store.sessions, store.entries, store.fragments)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).distinct()
+
+
 class Index:
     """Committed batches under a folder: ``{table}/{batch}-{attempt}`` holds a batch's rows of a table."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        """buckets: of a new index; one that is there keeps its own."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.log = CommitLog(spark, self.root)
 
     # reading
@@ -79,7 +86,7 @@ class Index:
     def _state(self) -> tuple[int, dict[str, Any]]:
         """The number of the last commit and what it says; batches: those that hold live rows, with their tables."""
         last = (self.log.numbers() or [0])[-1]
-        return last, self.log.read(last) if last else {"batches": {}, "live": None, "n_fragments": 0, "n_tokens": 0}
+        return last, self.log.read(last) if last else {"batches": {}, "live": None, "n_fragments": 0, "n_tokens": 0, "buckets": self.buckets}
 
     def _live(self, state: dict[str, Any]) -> DataFrame:
         if state["live"] is None:
@@ -106,7 +113,7 @@ class Index:
         if t["sessions"] is None:
             raise FileNotFoundError(f"no index in {self.root}")
         entries = t["events"].drop("branch_state", "selection_state", "back", "n_children", "next_id")
-        return Store(t["sessions"], entries, t["fragments"], t["links"], t["hashes"], t["events"], t["postings"], (state["n_fragments"], state["n_tokens"]))
+        return Store(t["sessions"], entries, t["fragments"], t["links"], t["hashes"], t["events"], t["postings"], (state["n_fragments"], state["n_tokens"]), state["buckets"])
 
     def sources(self) -> DataFrame:
         """file_path, session_id, size_bytes, mtime_ms, header_hash, entry_count, entry_hashes of the live sessions'
@@ -138,8 +145,8 @@ class Index:
             rows = rows.join(removed.select("session_id").distinct(), "session_id", "left_anti")
         if store is not None:
             old = rows.join(appended.select("session_id", "n_before"), "session_id") if appended is not None else None
-            tables = self._write(name, store, old, sources)
-            rows = rows.join(store.sessions.select("session_id").distinct(), "session_id", "left_anti").unionByName(self._sizes(name, n, store, old, tables))
+            tables = self._write(name, state["buckets"], store, old, sources)
+            rows = rows.join(sessions_of(store), "session_id", "left_anti").unionByName(self._sizes(name, n, store, old, tables))
         live_name = f"{n}-{uuid.uuid4().hex}"
         rows.select("session_id", "base", "at", "n_fragments", "n_tokens").write.parquet(f"{self.root}/live/{live_name}")
         now = self.spark.read.schema(_LIVE).parquet(f"{self.root}/live/{live_name}")
@@ -151,7 +158,7 @@ class Index:
         if total[3] is not None:  # batches older than anything live hold nothing that counts
             batches = {b: t for b, t in batches.items() if int(b.split("-")[0]) >= min(total[3], total[4])}
         whole = bool(tables) and len(batches) == 1 and used == {n}
-        payload = {"batches": batches, "live": live_name, "n_fragments": total[1], "n_tokens": total[2], "whole": whole}
+        payload = {"batches": batches, "live": live_name, "n_fragments": total[1], "n_tokens": total[2], "whole": whole, "buckets": state["buckets"]}
         if not self.log.publish(n, payload):
             for t in tables:
                 self.log.delete(f"{self.root}/{t}/batch={name}")
@@ -159,7 +166,7 @@ class Index:
             raise Conflict("another batch came first")
         return n
 
-    def _write(self, name: str, store: Store, old: DataFrame | None, sources: DataFrame | None) -> list[str]:
+    def _write(self, name: str, buckets: int, store: Store, old: DataFrame | None, sources: DataFrame | None) -> list[str]:
         """Write the store's rows; of sessions in old only their new fragments. The tables written."""
         out = []
         for table, df in (("sessions", store.sessions), ("events", store.events), ("links", store.links), ("hashes", store.hashes), ("sources", sources)):
@@ -174,7 +181,7 @@ class Index:
         f = with_key(f)
         f.repartition("session_id", spread).sortWithinPartitions("session_id", "entry_id").write.parquet(f"{self.root}/fragments/batch={name}")
         p = postings_of(self.spark.read.parquet(f"{self.root}/fragments/batch={name}"))
-        p = p.withColumn("tb", bucket_of(F.col("token")))
+        p = p.withColumn("tb", bucket_of(F.col("token"), buckets))
         p = p.repartition(F.col("tb"), F.pmod("fk", F.lit(PARTS))).sortWithinPartitions("tb", "token", "session_id")
         p.write.partitionBy("tb").parquet(f"{self.root}/postings/batch={name}")
         return [*out, "fragments", "postings"]
@@ -183,7 +190,7 @@ class Index:
         """The live rows of the store's sessions."""
         f = self.spark.read.parquet(f"{self.root}/fragments/batch={name}").groupBy("session_id").agg(F.count("*").alias("f"))
         p = self.spark.read.schema(_POSTING).parquet(f"{self.root}/postings/batch={name}").groupBy("session_id").agg(F.sum(F.size("positions")).alias("t"))
-        s = store.sessions.select("session_id").distinct().join(f, "session_id", "left").join(p, "session_id", "left")
+        s = sessions_of(store).join(f, "session_id", "left").join(p, "session_id", "left")
         f, t = F.coalesce("f", F.lit(0)), F.coalesce("t", F.lit(0))
         if old is None:
             return s.select("session_id", F.lit(n).alias("base"), F.lit(n).alias("at"), f.alias("n_fragments"), t.alias("n_tokens"))

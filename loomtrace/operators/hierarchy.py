@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import group_starts, whole_groups
 from ..functions.contraction import FREE, contract
+from ..functions.joins import salted_join
 from ..session import checkpointed
 
 #: Nodes of one group that a task may hold (about 100 bytes each).
@@ -217,6 +218,83 @@ def paths(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("k", "v").agg(F.array_join(F.transform(up, lambda x: x.ancestor), "/").alias("path"), F.max("distance").alias("depth"))
 
 
-def descendants(pairs: DataFrame) -> DataFrame:
-    """k, v, n_descendants and height (links down to the farthest of them) out of ancestors()."""
-    return pairs.groupBy("k", F.col("ancestor").alias("v")).agg((F.count("*") - 1).alias("n_descendants"), F.max("distance").alias("height"))
+_SPAN = "k string, v string, root string, pre long, last long"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in whole_groups(batches, ["k"], 50_000):
+        par = parent_rows(t)
+        c = contract(np.where(par >= 0, par, -1))
+        v = t.column("v").combine_chunks()
+        n = t.num_rows
+        name = np.empty(n, np.int64)
+        name[np.asarray(pc.sort_indices(v))] = np.arange(n)
+        size, pre = np.ones(n, np.int64), np.zeros(n, np.int64)
+        free = np.flatnonzero(c.state == FREE)
+        by_depth = free[np.argsort(c.depth[free], kind="stable")]
+        borders = np.searchsorted(c.depth[by_depth], np.arange(1, int(c.depth[by_depth].max(initial=0)) + 2))
+        levels = [by_depth[a:b] for a, b in zip(borders[:-1], borders[1:])]
+        for level in reversed(levels):
+            np.add.at(size, par[level], size[level])
+        for level in levels:
+            level = level[np.lexsort((name[level], par[level]))]
+            before = np.cumsum(size[level]) - size[level]
+            first = np.flatnonzero(np.append(True, par[level][1:] != par[level][:-1]))
+            before -= np.repeat(before[first], np.diff(np.append(first, len(level))))
+            pre[level] = pre[par[level]] + 1 + before
+        at = pa.array(free)
+        out = pa.table({"k": t.column("k").combine_chunks().take(at), "v": v.take(at), "root": v.take(pa.array(c.root[free])), "pre": pa.array(pre[free]), "last": pa.array((pre + size - 1)[free])})
+        yield from out.to_batches(max_chunksize=50_000)
+
+
+def _in_line(kids: DataFrame) -> DataFrame:
+    """k, v, p, beside (the next child of the parent by name), first (whether there is none before). The children of
+    one parent may take any number of tasks."""
+    order = ["k", "p", "v"]
+    here = checkpointed(kids.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ends = here.groupBy("part").agg(F.min(F.struct(*order)).alias("head"), F.max(F.struct(*order)).alias("tail"))  # one row a task
+    over = Window.orderBy("part")
+    ends = ends.select("part", F.lead("head").over(over).alias("head"), F.lag("tail").over(over).alias("tail"))
+    within = Window.partitionBy("part").orderBy(*order)
+    e = here.withColumns({"after": F.lead(F.struct(*order)).over(within), "before": F.lag(F.struct(*order)).over(within)}).join(ends, "part")
+    after, before = F.coalesce("after", "head"), F.coalesce("before", "tail")
+    of = lambda x: (x["k"] == F.col("k")) & (x["p"] == F.col("p"))
+    return e.select(*order, F.when(of(after), after["v"]).alias("beside"), (~F.coalesce(of(before), F.lit(False))).alias("first"))
+
+
+def _toured(nodes: DataFrame) -> DataFrame:
+    """The same as _spans for trees (k, v, p, root) of any size: each node's place on a walk around its tree, by
+    doubling the reach of the walk's steps."""
+    up = F.col("p").isNotNull()
+    kids = checkpointed(_in_line(nodes.filter(up)))
+    first = kids.filter("first").select("k", F.col("p").alias("v"), F.col("v").alias("child"))
+    n = nodes.join(kids.select("k", "v", "beside"), ["k", "v"], "left").join(first, ["k", "v"], "left")
+    down = n.select("k", F.concat(F.lit("d"), "v").alias("a"), F.concat(F.when(F.col("child").isNotNull(), "d").otherwise("u"), F.coalesce("child", "v")).alias("b"), F.lit(1).cast("long").alias("w"))
+    over = n.select("k", F.concat(F.lit("u"), "v").alias("a"), F.when(F.col("beside").isNotNull(), F.concat(F.lit("d"), "beside")).when(up, F.concat(F.lit("u"), "p")).alias("b"), F.lit(0).cast("long").alias("w"))
+    walk = checkpointed(down.unionByName(over))  # w: nodes entered on the way from a to just before b
+    while not walk.filter("b IS NOT NULL").isEmpty():
+        ahead = walk.select("k", F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("more"))
+        walk = checkpointed(walk.join(ahead, ["k", "b"], "left").select("k", "a", F.col("c").alias("b"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
+    left = walk.select("k", F.substring("a", 2, 1 << 30).alias("v"), F.substring("a", 1, 1).alias("side"), "w").groupBy("k", "v").agg(F.max(F.when(F.col("side") == "d", F.col("w"))).alias("d"), F.max(F.when(F.col("side") == "u", F.col("w"))).alias("u"))
+    done = checkpointed(nodes.join(left, ["k", "v"]))  # d: nodes from v to the walk's end; u: those after v's descendants
+    total = done.filter(F.col("v") == F.col("root")).select("k", "root", F.col("d").alias("all"))
+    done = salted_join(done, total, ["k", "root"], ["v"])
+    return done.select("k", "v", "root", (F.col("all") - F.col("d")).alias("pre"), (F.col("all") - F.col("u") - 1).alias("last"))
+
+
+def spans(df: DataFrame, node: str, parent: str, key: str | None = None, max_local: int = MAX_LOCAL) -> DataFrame:
+    """k, v, root, pre, last: each node's place in its tree, parents before children and these by name, and the place of
+    its last descendant. All descendants of a node are the nodes of its root whose pre is above its own and not above
+    its last, so one row a node gives them all. Nodes on or below a circle have none and no rows."""
+    h = hierarchy(df, node, parent, key, max_local).filter("state = 'free'").select("k", "v", F.when(~F.col("dead"), F.col("p")).alias("p"), "root")
+    h = checkpointed(h)
+    small, large = split_by_size(h, max_local)
+    out = small.select("k", "v", "p").repartition("k").sortWithinPartitions("k").mapInArrow(_spans, _SPAN)
+    return out if large is None else out.unionByName(_toured(large))
+
+
+def descendants_of(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """k, v, descendant of the nodes (k, v) in targets, out of spans()."""
+    own = found.join(targets.select("k", "v").distinct(), ["k", "v"]).select("k", "root", "v", F.col("pre").alias("__from"), "last")
+    below = found.select("k", "root", F.col("v").alias("descendant"), "pre")
+    return below.join(own, ["k", "root"]).filter("pre > __from AND pre <= last").select("k", "v", "descendant")

@@ -169,7 +169,7 @@ def _compared(spark: SparkSession, known: DataFrame, chosen: DataFrame, bad: Dat
         lines = lines_of(spark, [r.file_path for r in changed.select("file_path").collect()])
     else:  # too many to name each in a plan
         lines = read_lines(spark, roots).join(changed.select("file_path"), "file_path", "left_semi")
-    parsed = parse(checkpointed(lines))
+    parsed = Parsed(*[checkpointed(x) for x in vars(parse(checkpointed(lines))).values()])
     sources = source_info(parsed).join(changed, "file_path")
     observation = F.struct("header_hash", "entry_count", "entry_hashes")
     now = sources.select("file_path", "session_id", observation.alias("current"))

@@ -107,9 +107,15 @@ def cutoff_seq(store: Store, session_id: str, execution: Execution) -> int:
             return r[0]
     if execution.invocation_timestamp is None:
         raise InvalidArgument("reading the current session needs a cutoff")
-    late = F.min(F.when(F.col("entry_ts") >= execution.invocation_timestamp, F.col("append_seq")))
-    r = own.agg(F.coalesce(late, F.count("*")).alias("c")).first()
-    return r[0]
+    r = cutoffs(own, execution.invocation_timestamp).first()
+    return r["cutoff"] if r is not None else 0
+
+
+def cutoffs(entries: DataFrame, timestamp: str) -> DataFrame:
+    """session_id, cutoff: for every session, the place in its log before which it might see its own entries if it asked
+    at the time (in the form of the entries' stamps)."""
+    late = F.min(F.when(F.col("entry_ts") >= timestamp, F.col("append_seq")))
+    return entries.groupBy("session_id").agg(F.coalesce(late, F.count("*")).alias("cutoff"))
 
 
 def fragment_filter(r: Request) -> Column:
@@ -167,10 +173,8 @@ def _moved(places: Column, by: int) -> Column:
 def lists(store: Store, sequences: Sequence[tuple[str, ...]]) -> DataFrame:
     """The fragments that hold a token of the sequences, out of its posting list, with tf_0.. of the sequences. Only
     the lists' buckets are read."""
-    from ..index import BUCKETS
-
     want = list(dict.fromkeys(t for s in sequences for t in s))
-    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in want})
+    buckets = sorted({zlib.crc32(t.encode()) % store.buckets for t in want})
     p = store.postings.filter(F.col("tb").isin(*buckets) & F.col("token").isin(*want))
     keep = ["entry_id", "fragment_id", "semantic_kind", "tool_name", "is_error", "frag_ord", "n_tokens"]
     at = {t: f"at_{i}" for i, t in enumerate(want)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import group_starts, whole_groups
 from ..functions.joins import salted_join
+from ..functions.positions import dense_position
 from ..session import checkpointed
 from .hierarchy import MAX_LOCAL, parent_rows, split_by_size
 
@@ -81,7 +82,8 @@ def with_states(entries: DataFrame, max_local: int = MAX_LOCAL) -> DataFrame:
     after = path.select("session_id", (F.col("back") + 1).alias("back"), F.col("entry_id").alias("on_path"))
     path = path.join(after, ["session_id", "back"], "left")
     ids = entries.select("session_id", F.col("entry_id").alias("parent_id"), F.lit(True).alias("there"))
-    e = entries.join(path, ["session_id", "entry_id"], "left").join(kids, ["session_id", "entry_id"], "left").join(ids, ["session_id", "parent_id"], "left")
+    e = entries.join(path, ["session_id", "entry_id"], "left").join(kids, ["session_id", "entry_id"], "left")
+    e = salted_join(e, ids, ["session_id", "parent_id"], ["entry_id"], "left")
     selected = F.col("back").isNotNull()
     packs = e.filter(selected & (F.col("entry_type") == "compaction")).select("session_id", "append_seq", F.col("first_kept_id").alias("kept"))
     kept = entries.select("session_id", F.col("entry_id").alias("kept"), F.col("append_seq").alias("kept_seq"))
@@ -100,29 +102,55 @@ def with_states(entries: DataFrame, max_local: int = MAX_LOCAL) -> DataFrame:
     return e.select(*entries.columns, branch.alias("branch_state"), selection.alias("selection_state"), "back", n.alias("n_children"), following.alias("next_id"))
 
 
-def ancestors(events: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """session_id, target_id, entry_id, distance: up to limit entries above each target (session_id, entry_id)."""
-    up = events.select("session_id", F.col("entry_id").alias("at"), F.col("parent_id").alias("next"))
-    there = events.select("session_id", F.col("entry_id").alias("next"))
-    return _steps(up.join(there, ["session_id", "next"], "left_semi"), targets, limit)
+def ancestors(events: DataFrame, targets: DataFrame | None, limit: int, max_local: int = MAX_LOCAL) -> DataFrame:
+    """session_id, target_id, entry_id, distance: up to limit entries above each target (session_id, entry_id; None for
+    every entry)."""
+    return _steps(events.select(F.col("session_id").alias("k"), F.col("entry_id").alias("v"), F.col("parent_id").alias("p")), targets, limit, max_local)
 
 
-def descendants(events: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+def descendants(events: DataFrame, targets: DataFrame | None, limit: int, max_local: int = MAX_LOCAL) -> DataFrame:
     """session_id, target_id, entry_id, distance: up to limit entries that continue each target's branch."""
-    down = events.filter("next_id IS NOT NULL").select("session_id", F.col("entry_id").alias("at"), F.col("next_id").alias("next"))
-    return _steps(down, targets, limit)
-
-
-def _steps(links: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    at = targets.select("session_id", F.col("entry_id").alias("target_id"), F.col("entry_id").alias("at"), F.array("entry_id").alias("met"))
-    parts = []
+    return _steps(events.select(F.col("session_id").alias("k"), F.col("entry_id").alias("v"), F.col("next_id").alias("p")), targets, limit, max_local)
+
+
+def _steps(links: DataFrame, targets: DataFrame | None, limit: int, max_local: int) -> DataFrame:
+    """Steps along links (k, v, p) from the targets, none to an entry that was met. Sessions of up to max_local entries
+    are walked whole, many in a task; larger ones by joins, one a step."""
+    if limit < 1:
+        return links.filter("false").select(F.col("k").alias("session_id"), F.col("v").alias("target_id"), F.col("v").alias("entry_id"), F.lit(0).cast("long").alias("distance"))
+    if targets is None:
+        links = links.withColumn("go", F.lit(True))
+    else:
+        wanted = targets.select(F.col("session_id").alias("k"), F.col("entry_id").alias("v"), F.lit(True).alias("go")).distinct()
+        links = links.join(wanted, ["k", "v"], "left").withColumn("go", F.coalesce("go", F.lit(False)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["k"], 50_000):
+            nxt = parent_rows(t)
+            k, v = t.column("k").combine_chunks(), t.column("v").combine_chunks()
+            at = np.flatnonzero(t.column("go").to_numpy(zero_copy_only=False).astype(bool))
+            met = [at]
+            for d in range(1, limit + 1):
+                to = nxt[met[-1]]
+                keep = to >= 0
+                for m in met:
+                    keep &= to != m
+                met = [m[keep] for m in met] + [to[keep]]
+                start, now = pa.array(met[0]), pa.array(met[-1])
+                whole = pa.table({"session_id": k.take(start), "target_id": v.take(start), "entry_id": v.take(now), "distance": pa.array(np.full(len(start), d, np.int64))})
+                yield from whole.to_batches(max_chunksize=50_000)
+
+    small, large = split_by_size(links, max_local)
+    out = small.repartition("k").sortWithinPartitions("k").mapInArrow(walk, "session_id string, target_id string, entry_id string, distance long")
+    if large is None:
+        return out
+    large = checkpointed(large)
+    step = large.filter("p IS NOT NULL").select("k", F.col("v").alias("at"), F.col("p").alias("next")).join(large.select("k", F.col("v").alias("next")), ["k", "next"], "left_semi")
+    at = large.filter("go").select("k", F.col("v").alias("target_id"), F.col("v").alias("at"), F.array("v").alias("met"))
     for d in range(1, limit + 1):
-        at = at.join(links, ["session_id", "at"]).filter(~F.array_contains("met", F.col("next")))
-        at = at.select("session_id", "target_id", F.col("next").alias("at"), F.concat("met", F.array("next")).alias("met"))
-        parts.append(at.select("session_id", "target_id", F.col("at").alias("entry_id"), F.lit(d).cast("long").alias("distance")))
-    out = parts[0] if parts else at.filter("false").select("session_id", "target_id", F.col("at").alias("entry_id"), F.lit(0).cast("long").alias("distance"))
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        at = at.join(step, ["k", "at"]).filter(~F.array_contains("met", F.col("next")))
+        at = checkpointed(at.select("k", "target_id", F.col("next").alias("at"), F.concat("met", F.array("next")).alias("met")))
+        out = out.unionByName(at.select(F.col("k").alias("session_id"), "target_id", F.col("at").alias("entry_id"), F.lit(d).cast("long").alias("distance")))
     return out
 
 
@@ -135,9 +163,10 @@ def append_neighbors(events: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def children(events: DataFrame) -> DataFrame:
-    """session_id, parent_id, entry_id, place: children of each entry and their places by log order, from 0."""
-    ranked = F.expr("row_number() OVER (PARTITION BY session_id, parent_id ORDER BY append_seq) - 1")
-    return events.filter("parent_id IS NOT NULL").select("session_id", "parent_id", "entry_id", ranked.cast("long").alias("place"))
+    """session_id, parent_id, entry_id, place: children of each entry and their places by log order, from 0. No task
+    sorts all children of one parent."""
+    c = events.filter("parent_id IS NOT NULL").select("session_id", "parent_id", "entry_id", "append_seq")
+    return dense_position(c, ["session_id", "parent_id"], "append_seq", "entry_id", "place").drop("append_seq")
 
 
 def siblings(events: DataFrame, limit: int = 50) -> DataFrame:
@@ -146,8 +175,10 @@ def siblings(events: DataFrame, limit: int = 50) -> DataFrame:
     c = children(events)
     n = c.groupBy("session_id", "parent_id").agg(F.count("*").alias("n"))
     other = c.filter(F.col("place") <= limit).select("session_id", "parent_id", F.col("entry_id").alias("sibling_id"), F.col("place").alias("at"))
-    pairs = c.join(other, ["session_id", "parent_id"]).filter((F.col("entry_id") != F.col("sibling_id")) & (F.col("at") < limit + (F.col("place") < limit).cast("int")))
-    return pairs.join(n, ["session_id", "parent_id"]).select("session_id", "entry_id", "sibling_id", (F.col("n") - 1).alias("n_siblings"))
+    other = other.join(n.filter("n > 1"), ["session_id", "parent_id"])  # limit + 1 rows a parent at most
+    pairs = salted_join(c, other, ["session_id", "parent_id"], ["entry_id"])
+    pairs = pairs.filter((F.col("entry_id") != F.col("sibling_id")) & (F.col("at") < limit + (F.col("place") < limit).cast("int")))
+    return pairs.select("session_id", "entry_id", "sibling_id", (F.col("n") - 1).alias("n_siblings"))
 
 
 def forks(events: DataFrame) -> DataFrame:

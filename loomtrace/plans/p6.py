@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalized
-from ..operators.hierarchy import ancestors, descendants, hierarchy, link_states, paths
+from ..operators.hierarchy import ancestors, hierarchy, link_states, paths, spans
 from ..tables import Tables, latest_by
 
 
@@ -52,7 +52,8 @@ def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    e, s = (_named(descendants(ancestors(df, *by)), level) for level, df, by in _both(Tables(spark, folder)))
+    """All descendants of every node, as the stretch of places that they take in its tree."""
+    e, s = (_named(spans(df, *by).withColumn("n_descendants", F.col("last") - F.col("pre")), level) for level, df, by in _both(Tables(spark, folder)))
     return e.unionByName(s)
 
 
@@ -103,4 +104,19 @@ SELECT node_level, {_IDS}, link_state FROM (
   FROM stuck s LEFT JOIN circle c USING (node_level, k, v)
   UNION ALL SELECT node_level, k, v, 'dangling' FROM linked WHERE dead)""",
     "p6_paths": _NODES + _WALK + f"SELECT node_level, {_IDS}, path, depth FROM down",
+    "p6_hierarchy": _NODES + _WALK + f"""
+, top AS (SELECT node_level, k, v, min(t) AS root FROM (
+  SELECT c.node_level, c.k, c.v, c.top AS t FROM climb c JOIN circle o ON o.node_level = c.node_level AND o.k = c.k AND o.v = c.top
+  UNION ALL SELECT node_level, k, v, v FROM circle) GROUP BY ALL)
+SELECT node_level, {_IDS}, root, depth, state FROM (
+  SELECT node_level, k, v, root, depth, 'free' AS state FROM down
+  UNION ALL SELECT t.node_level, t.k, t.v, t.root, NULL, CASE WHEN c.v IS NOT NULL THEN 'cycle' ELSE 'to_cycle' END FROM top t LEFT JOIN circle c USING (node_level, k, v))""",
+    "p6_descendants": _NODES + _WALK + f"""
+, steps AS (
+  SELECT node_level, k, v, v AS root, [v] AS line FROM linked WHERE up IS NULL
+  UNION ALL
+  SELECT l.node_level, l.k, l.v, s.root, list_append(s.line, l.v) FROM steps s JOIN linked l ON l.node_level = s.node_level AND l.k = s.k AND l.up = s.v),
+n AS (SELECT node_level, k, a AS v, count(*) - 1 AS n_descendants FROM (SELECT node_level, k, unnest(line) AS a FROM steps) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY node_level, k, root ORDER BY line) - 1 AS pre FROM steps)
+SELECT node_level, {_IDS}, root, pre, pre + n_descendants AS last, n_descendants FROM o JOIN n USING (node_level, k, v)""",
 }

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import frequency_sql, parse_query
-from ..operators.search import LIMIT, Request, lists, matches, search, statistics
+from ..functions.joins import salted_join
+from ..index import Index
+from ..operators.search import LIMIT, Request, cutoffs, lists, matches, search, statistics
+from ..session import scratch
+from ..store import Store, cached
 from .base import STATES, STORE, TOKENS, indexed, store
 
 #: name -> (request, root, limit)
@@ -133,7 +137,52 @@ def matching_fragments(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("session_id", "fragment_id", F.col("tf_0").cast("long").alias("tf_0"), F.col("tf_1").cast("long").alias("tf_1"), F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (search_scan, bm25_corpus_stats, index_stats, document_frequency, matching_fragments)}
+def _grown(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    """Hits of one request in an index that has been changed."""
+    whole = cached(store(spark, folder))
+    index = Index(spark, scratch(spark, how))
+    r, root, limit = REQUESTS["search_all_hits"]
+    if how == "store_remove":
+        index.apply(whole)
+        index.apply(removed=whole.sessions.filter("parent_session IS NOT NULL").select("session_id"))
+    else:
+        n = whole.entries.groupBy("session_id").agg(F.floor(F.count("*") / 2).cast("long").alias("n_before"))
+        early = salted_join(whole.entries, n, ["session_id"], ["entry_id"]).filter("append_seq < n_before").drop("n_before")
+        part = Store(whole.sessions, early, whole.fragments.join(early.select("session_id", "entry_id"), ["session_id", "entry_id"], "left_semi"))
+        index.apply(part)
+        index.apply(whole, n if how == "store_append" else None)
+    return search(index.store(), r, root, limit=limit).withColumn("score", F.round("score", 6))
+
+
+def store_append(spark: SparkSession, folder: str) -> DataFrame:
+    """A search after the later half of every session's entries was appended to an index."""
+    return _grown(spark, folder, "store_append")
+
+
+def store_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    """A search after every session of an index was replaced."""
+    return _grown(spark, folder, "store_rebuild")
+
+
+def store_remove(spark: SparkSession, folder: str) -> DataFrame:
+    """A search after the sessions with a parent were removed from an index."""
+    return _grown(spark, folder, "store_remove")
+
+
+def index_build(spark: SparkSession, folder: str) -> DataFrame:
+    """A new index of the tables: what it holds by kind."""
+    index = Index(spark, scratch(spark, "index_build"))
+    index.apply(store(spark, folder))
+    s = index.store()
+    return s.fragments.groupBy("semantic_kind").agg(F.count("*").alias("n"))
+
+
+def cutoff_current(spark: SparkSession, folder: str) -> DataFrame:
+    """Every session's cutoff if it asked at a time."""
+    return cutoffs(store(spark, folder).entries, "2024-07-01T00:00:00.000Z")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (search_scan, store_append, store_rebuild, store_remove, index_build, cutoff_current, bm25_corpus_stats, index_stats, document_frequency, matching_fragments)}
 SQL = {n: _sql(n) for n in REQUESTS} | {
     "bm25_corpus_stats": f"WITH {STORE}, {TOKENS} SELECT count(*) AS n, round(avg(len(tokens)), 6) AS mean, " + ", ".join(f"sum(({frequency_sql('tokens', s)} > 0)::INT)::BIGINT AS df_{i}" for i, s in enumerate(_SEQUENCES)) + " FROM k",
     "document_frequency": f"WITH {STORE}, {TOKENS}, x AS (SELECT row_number() OVER () AS i, tokens FROM k), u AS (SELECT i, unnest(tokens) AS token FROM x), g AS (SELECT i, token, count(*) AS tf FROM u GROUP BY ALL) SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM g GROUP BY token",
@@ -144,4 +193,8 @@ SELECT session_id, fragment_id, tf_0::BIGINT AS tf_0, tf_1::BIGINT AS tf_1,
   round(-(ln((n - d0 + 0.5) / (d0 + 0.5)) * (tf_0 * 2.2) / (tf_0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln((n - d1 + 0.5) / (d1 + 0.5)) * (tf_1 * 2.2) / (tf_1 + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
 FROM c, stat WHERE tf_0 > 0 AND tf_1 > 0 AND coalesce(tool_name, '') NOT IN ('event_search', 'event_read', 'event_trace')""",
 }
+SQL["store_append"] = SQL["store_rebuild"] = SQL["search_all_hits"]
+SQL["store_remove"] = SQL["search_all_hits"].replace("FROM fragments WHERE frag_text IS NOT NULL", "FROM fragments WHERE frag_text IS NOT NULL AND session_id NOT IN (SELECT session_id FROM s WHERE parent_session IS NOT NULL)")
+SQL["index_build"] = f"WITH {STORE} SELECT semantic_kind, count(*) AS n FROM f GROUP BY 1"
+SQL["cutoff_current"] = f"WITH {STORE} SELECT session_id, coalesce(min(append_seq) FILTER (entry_ts >= '2024-07-01T00:00:00.000Z'), count(*)) AS cutoff FROM e GROUP BY 1"
 SQL["search_scan"], SQL["index_stats"] = SQL["search_terms"], SQL["bm25_corpus_stats"]

@@ -45,11 +45,6 @@ def segmented_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    t = _documents(spark, folder).select("doc_id", tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 50), " ").alias("head"))
-
-
-def document_tokens_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every token of each document in order; tokens hold no spaces."""
     t = _documents(spark, folder).select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
@@ -69,7 +64,7 @@ def file_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("session_id", "entry_id", "fragment_id", "file_evidence_type", F.explode("file_paths").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (text_snippet, neighbor_preview, preview_head_tail, window_offset, bounded_index_text, collapsed_text, segmented_text, document_tokens, document_tokens_all, fragment_budget, file_evidence)}
+QUERIES = {f.__name__: f for f in (text_snippet, neighbor_preview, preview_head_tail, window_offset, bounded_index_text, collapsed_text, segmented_text, document_tokens, fragment_budget, file_evidence)}
 
 _SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _T = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'), ' ')"
@@ -98,8 +93,7 @@ FROM (SELECT *, CASE WHEN text IS NOT NULL THEN least(1500, length(text)) END AS
     "bounded_index_text": f"SELECT doc_id, {_bounded(10_000)} AS indexed, {_bounded(500)} AS short, substr(text, 1, 20) AS tiny FROM documents",
     "collapsed_text": f"SELECT doc_id, {_T} AS t FROM documents",
     "segmented_text": rf"WITH d AS (SELECT doc_id, regexp_replace(text, '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}])', ' \1 ', 'g') AS text FROM documents) SELECT doc_id, {_T} AS t FROM d",
-    "document_tokens": f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, array_to_string(t[1:50], ' ') AS head FROM d",
-    "document_tokens_all": f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM d",
+    "document_tokens": f"WITH d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM d",
     "fragment_budget": f"""
 WITH {STORE}, n AS (SELECT session_id, entry_id, count(*) AS total FROM f GROUP BY ALL)
 SELECT session_id, entry_id, total, least(total, 20) AS returned, total - least(total, 20) AS omitted, total > 20 AS truncated,

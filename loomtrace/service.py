@@ -18,6 +18,8 @@ from .store import Store
 
 #: The most that a caller may ask for.
 MAX_NEIGHBORS, MAX_WINDOW, MAX_CHILDREN, MAX_RELATED = 5, 4_000, 50, 20
+#: Sessions that a plan names one by one at most.
+_FAMILY = 1_000
 
 
 def bounded_integer(name: str, value: Any, default: int, least: int, most: int) -> int:
@@ -156,9 +158,21 @@ class History:
                 out.append({"kind": "in-session", "at": (r["session_id"], r["entry_id"]), "candidates": [(r["session_id"], k) for k in kids], "chosen": (r["session_id"], chosen) if chosen in kids else None})
         return out
 
-    def _groups(self) -> DataFrame:
-        """Forks across sessions that may be seen: authorized, and before the asking session's cutoff."""
-        groups = relations.fork_groups(self.store, authorized(self.store, self.root))
+    def _groups(self, session_id: str) -> DataFrame:
+        """Forks across sessions that a session takes part in and may be seen: authorized, and before the asking
+        session's cutoff. Only the session, its parent, and both's children are compared."""
+        allowed = authorized(self.store, self.root)
+        p = relations.parents(allowed)
+        up = p.filter(F.col("session_id") == session_id).select(F.col("parent_id").alias("session_id"))
+        heads = up.unionByName(allowed.filter(F.col("session_id") == session_id).select("session_id"))
+        family = heads.unionByName(p.join(heads.withColumnRenamed("session_id", "parent_id"), "parent_id").select("session_id")).distinct()
+        ids = [r[0] for r in family.limit(_FAMILY + 1).collect()]
+        near = F.col("session_id").isin(*ids)
+        part = self.store
+        if len(ids) <= _FAMILY:  # named in the plan, so that only their rows are read
+            part = Store(*[None if x is None else x.filter(near) for x in (part.sessions, part.entries, part.fragments, part.links, part.hashes)])
+            allowed = allowed.filter(near)
+        groups = relations.fork_groups(part, allowed)
         current = self.execution.current_session_id
         if current is None or groups.filter(F.col("session_id") == current).isEmpty():
             return groups
@@ -171,7 +185,7 @@ class History:
         steps = {a["entry_id"]: b["entry_id"] for a, b in zip(path, path[1:])}
         if not steps:
             return []
-        rows = self._groups().filter(F.col("at_entry").isin(*steps)).collect()
+        rows = self._groups(session_id).filter(F.col("at_entry").isin(*steps)).collect()
         out: dict[tuple[str, str], list[tuple[str, str]]] = {}
         for r in rows:
             out.setdefault((r.at_session, r.at_entry), []).append((r.session_id, r.entry_id))
@@ -220,7 +234,7 @@ class History:
             {"type": r.type, "from": (e.session_id, r.source_id), "to": r.target_ref or (e.session_id, r.target_id), "recorded": r.recorded, "detail": r.detail, "target_branch_state": r.target_branch_state, "leads_to_leaf": r.leads_to_leaf}
             for r in rows
         ]
-        groups = self._groups()
+        groups = self._groups(e.session_id)
         me = (F.col("session_id") == e.session_id) & (F.col("entry_id") == e.entry_id)
         part = groups.filter((F.col("at_entry") == e.entry_id) & ((F.col("at_session") == e.session_id) | (F.col("session_id") == e.session_id))).select("at_session", "at_entry")
         at = part.unionByName(groups.filter(me).select("at_session", "at_entry")).distinct()

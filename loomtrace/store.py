@@ -23,7 +23,7 @@ class Store:
     """sessions: session_id, created_at, cwd, parent_session, session_name, file_path. entries: session_id, entry_id,
     append_seq (dense), parent_id, entry_ts, entry_type, entry_role, context_role, first_kept_id. fragments:
     FRAGMENT_COLUMNS and frag_ord. links: relationships that entries record. hashes: session_id, append_seq, hash.
-    postings and sizes (fragments, tokens) come with a saved index; searches then read posting lists instead of texts."""
+    postings, sizes (fragments, tokens) and buckets come with a saved index; searches then read posting lists instead of texts."""
 
     sessions: DataFrame
     entries: DataFrame
@@ -33,6 +33,7 @@ class Store:
     _events: DataFrame | None = field(default=None, repr=False)
     postings: DataFrame | None = None
     sizes: tuple[int, int] | None = None
+    buckets: int = 0
 
     @property
     def events(self) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtrace.functions.contraction import contract
-from loomtrace.operators.hierarchy import ancestors, descendants, hierarchy, link_states, paths
+from loomtrace.operators.hierarchy import ancestors, descendants_of, hierarchy, link_states, paths, spans
 
 
 def walk(parent, v):
@@ -57,8 +57,10 @@ def test_hierarchy(spark, limit):
     pairs = ancestors(df, "node", "up", "k2", limit)
     p = {(r.k, r.v): (r.path, r.depth) for r in paths(pairs).collect()}
     assert p["s", "c"] == ("a/b/c", 2) and p["t", "a"] == ("b/a", 1) and ("s", "x") not in p
-    d = {(r.k, r.v): (r.n_descendants, r.height) for r in descendants(pairs).collect()}
-    assert d["s", "a"] == (3, 2) and d["s", "d"] == (0, 0)
+    found = spans(df, "node", "up", "k2", limit)
+    d = {(r.k, r.v): (r.root, r.pre, r["last"]) for r in found.collect()}
+    assert d == {("s", "a"): ("a", 0, 3), ("s", "b"): ("a", 1, 3), ("s", "c"): ("a", 2, 2), ("s", "d"): ("a", 3, 3), ("s", "e"): ("e", 0, 1), ("s", "f"): ("e", 1, 1), ("t", "b"): ("b", 0, 1), ("t", "a"): ("b", 1, 1)}
+    assert {(r.v, r.descendant) for r in descendants_of(found, df.selectExpr("k2 AS k", "node AS v").filter("v IN ('b', 'e')")).collect()} == {("b", "c"), ("b", "d"), ("e", "f"), ("b", "a")}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -77,6 +79,11 @@ def test_large_groups_as_small_ones(spark, seed):
     assert names(small) == names(large)
     a, b = ({tuple(r) for r in ancestors(df, "node", "up", "k", m).collect()} for m in (1000, 40))
     assert a == b
+    c, d = ({(r.v, r.root, r.pre, r["last"]) for r in spans(df, "node", "up", "k", m).collect()} for m in (1000, 40))
+    assert c == d and {v for _, v, *_ in a} == {v for v, *_ in c}
+    at = {v: (root, pre, last) for v, root, pre, last in c}
+    above = {(v, up) for _, v, up, far in a if far}
+    assert all(((v, up) in above) == (at[v][0] == at[up][0] and at[up][1] < at[v][1] <= at[up][2]) for v in at for up in at)
 
 
 def test_empty(spark):

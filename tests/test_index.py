@@ -19,7 +19,7 @@ from tests.test_search import AWAY, FORK, TREE, line, lines
 
 def built(spark, tmp_path, name="index", **files):
     s = cached(to_store(parse(lines(spark, **files))))
-    i = Index(spark, str(tmp_path / name))
+    i = Index(spark, str(tmp_path / name), 3)
     i.apply(s)
     return i, s
 
@@ -44,7 +44,7 @@ def test_index_answers_as_texts_do(spark, tmp_path, monkeypatch):
     same(i.store(), s)
     for more in ({"error_only": True}, {"tool_names": ["event_search"]}, {"branch_states": ["alternate"], "session_id": "s1"}, {"kinds": ["user.text"]}, {"cwd": "/ws/a/b"}):
         assert hits(i.store(), "fox", **more) == hits(s, "fox", **more)
-    assert hits(i.store(), "文件 修改") == hits(s, "文件 修改") and hits(i.store(), '"改文"') == hits(s, '"改文"') == [] == hits(i.store(), "nowhere")
+    assert hits(i.store(), "书架 整理") == hits(s, "书架 整理") and hits(i.store(), '"理书"') == hits(s, '"理书"') == [] == hits(i.store(), "nowhere")
 
 
 def test_only_the_lists_of_the_terms_are_read(spark, tmp_path):
@@ -114,7 +114,7 @@ def test_maintenance(spark, tmp_path):
     write(logs / "s2+x.jsonl", FORK, 200)
     write(logs / "s3.jsonl", AWAY, 300)
     write(logs / "bad.jsonl", ["{nope"], 50)
-    m = Maintainer(Index(spark, str(tmp_path / "index")), [str(logs)], "/ws")
+    m = Maintainer(Index(spark, str(tmp_path / "index"), 3), [str(logs)], "/ws")
     report, coverage = m.start()
     assert actions(report) == {("one s1.jsonl", "indexed", "s1"), ("s2+x.jsonl", "indexed", "s2"), ("bad.jsonl", "error", None)} and not coverage.limited
     one = [(r.entry_id, r.fragment_id) for r in search(m.index.store(), Request("fox")).collect()]

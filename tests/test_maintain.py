@@ -88,7 +88,7 @@ def test_tokens_after_the_fiftieth(spark, tmp_path):
     from loomtrace.plans import registry
 
     spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(120))), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    out = {r.doc_id: r for r in registry.QUERIES["document_tokens_all"](spark, str(tmp_path)).collect()}
+    out = {r.doc_id: r for r in registry.QUERIES["document_tokens"](spark, str(tmp_path)).collect()}
     assert out[1].n == 120 and out[1].tokens.split(" ") == [f"w{i}" for i in range(120)] and out[2].tokens is None and out[3].tokens == ""
 
 
@@ -112,10 +112,13 @@ def test_walks_of_any_size(spark):
 
 def test_steps(spark):
     e = spark.createDataFrame([("s", "a", None, "b", 0), ("s", "b", "a", "c", 1), ("s", "c", "b", "b", 2)], "session_id string, entry_id string, parent_id string, next_id string, append_seq long")
-    up = {(r.target_id, r.entry_id, r.distance) for r in ancestors(e, e, 5).collect()}
-    assert up == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
-    down = {(r.target_id, r.entry_id, r.distance) for r in descendants(e, e, 5).collect()}
-    assert down == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("c", "b", 1)}
+    for every in (None, e):
+        for m in (1000, 2):
+            up = {(r.target_id, r.entry_id, r.distance) for r in ancestors(e, every, 5, m).collect()}
+            assert up == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
+            down = {(r.target_id, r.entry_id, r.distance) for r in descendants(e, every, 5, m).collect()}
+            assert down == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("c", "b", 1)}
+    assert [tuple(r) for r in ancestors(e, e.filter("entry_id = 'c'"), 1).collect()] == [("s", "c", "b", 1)] and ancestors(e, None, 0).collect() == []
     assert {(r.entry_id, r.neighbor_id, r.distance) for r in append_neighbors(e, 1, 0).collect()} == {("b", "a", -1), ("c", "b", -1)}
 
 

@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 
 from loomtrace.errors import InvalidArgument, InvalidQuery, NotFound
+from loomtrace.index import Index
 from loomtrace.functions.tokens import parse_query, tokens_of
 from loomtrace.operators.project import arguments_text, file_evidence, fragments, number_text, to_store
 from loomtrace.operators.search import Execution, Request, search
@@ -25,7 +26,7 @@ TREE = [
     line("D", "C", "assistant", 3, text="dead end fox"),
     line("E", "B", "user", 4, text="other way"),
     line("K", "E", "compaction", 5, summary="so far", firstKeptEntryId="E", retainedIds=["A", 7]),
-    line("F", "K", "assistant", 6, text="我修改了文件 done"),
+    line("F", "K", "assistant", 6, text="昨整理了书架 done"),
     line("L", "F", "label", 7, targetId="A", label="x"),
     line("S", "L", "assistant", 8, text="", toolCalls=[{"toolCallId": "t2", "name": "event_search", "arguments": {"query": "fox"}}]),
 ]
@@ -50,9 +51,9 @@ def store(spark):
 
 
 def test_query_language():
-    q = parse_query('  one "two  three"four 修改文件 "修改" foo/bar !!! ')
-    assert q.terms == ("one", "four", "修改文件", "foo/bar", "!!!") and q.phrases == ("two  three", "修改")
-    assert q.sequences == (("one",), ("four",), ("修",), ("改",), ("文",), ("件",), ("foo", "bar"), ("two", "three"), ("修", "改"))
+    q = parse_query('  one "two  three"four 整理书架 "整理" foo/bar !!! ')
+    assert q.terms == ("one", "four", "整理书架", "foo/bar", "!!!") and q.phrases == ("two  three", "整理")
+    assert q.sequences == (("one",), ("four",), ("整",), ("理",), ("书",), ("架",), ("foo", "bar"), ("two", "three"), ("整", "理"))
     for bad in ("", "  ", '"open', 'a "  "'):
         with pytest.raises(InvalidQuery):
             parse_query(bad)
@@ -108,8 +109,8 @@ def test_search(store):
     assert ids(search(store, Request("fox", error_only=True))) == [("s1", "C")]
     assert ids(search(store, Request("fox", tool_names=["event_search"]))) == [("s1", "S")]
     assert ids(search(store, Request("secret"))) == []
-    assert ids(search(store, Request("文件 修改"))) == [("s1", "F")] == ids(search(store, Request('"修改"')))
-    assert ids(search(store, Request('"改文"'))) == []
+    assert ids(search(store, Request("书架 整理"))) == [("s1", "F")] == ids(search(store, Request('"整理"')))
+    assert ids(search(store, Request('"理书"'))) == []
     assert ids(search(store, Request("!!!"))) == []
     assert ids(search(store, Request("fox", branch_states=["alternate"], session_id="s1"))) and set(ids(search(store, Request("fox", branch_states=["alternate"], session_id="s1")))) == {("s1", "C"), ("s1", "D")}
     assert ids(search(store, Request("fox", selection_states=["summarized"], session_id="s1"))) == [("s1", "A")]
@@ -229,8 +230,6 @@ def test_projection():
 
 
 def test_saved_store(spark, store, tmp_path):
-    from loomtrace.store import Store
-
-    store.save(str(tmp_path))
-    again = Store.load(spark, str(tmp_path))
+    Index(spark, str(tmp_path), 3).apply(store)
+    again = Index(spark, str(tmp_path)).store()
     assert set(ids(search(again, Request("fox")))) == set(ids(search(store, Request("fox"))))
