@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.positions import dense_position
+from ..session import checkpointed
 from ..tables import Tables
 from .conversations import ASSISTANT, USER, walks
 
@@ -40,7 +42,7 @@ def p4_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The turns of the sessions that are kept: session_id, turn_no (from 0), role, entry_id, turn_text (the turn's
     speaking fragments in order, joined by line ends)."""
     t = Tables(spark, folder)
-    w = _walks(t)
+    w = checkpointed(_walks(t))
     good = w.filter("v IS NULL AND fault IS NULL").select("k").join(t.sessions.select(F.col("session_id").alias("k")).distinct(), "k", "left_semi")
     turns = w.filter("v IS NOT NULL").join(good, "k", "left_semi").select(F.col("k").alias("session_id"), F.col("v").alias("entry_id"), "back", "turn")
     f = t.fragments.filter(F.col("semantic_kind").isin("user.text", "assistant.text") & F.col("frag_text").rlike(_VISIBLE))
@@ -50,8 +52,9 @@ def p4_conversations(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("i"), "fragment_id", "frag_text"))), lambda x: x["frag_text"]), "\n").alias("turn_text")
     )
     role = F.when(F.col("turn") == USER, "user").otherwise("assistant")
-    number = F.expr("row_number() OVER (PARTITION BY session_id ORDER BY back DESC)") - 1
-    return texts.select("session_id", number.cast("long").alias("turn_no"), role.alias("role"), "entry_id", "turn_text")
+    order = turns.select("session_id", "entry_id", (-F.col("back")).alias("forth"))  # numbered without the texts, and in stretches
+    order = dense_position(order, "session_id", "forth", "entry_id", "turn_no").select("session_id", "entry_id", "turn_no")
+    return texts.join(order, ["session_id", "entry_id"]).select("session_id", "turn_no", role.alias("role"), "entry_id", "turn_text")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_conversations)}

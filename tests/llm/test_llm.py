@@ -83,8 +83,9 @@ def fault(rows):
     return "no_reply" if any(t == 1 and (i == 0 or turns[i - 1] == 1) for i, t in enumerate(turns)) else None
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
-def test_faults(spark, limit):
+@pytest.mark.parametrize(("limit", "stretch"), [(10_000, 4_096), (3, 4_096), (3, 2)])
+def test_faults(spark, monkeypatch, limit, stretch):
+    monkeypatch.setattr(conversations, "STRETCH", stretch)
     rng = random.Random(5)
     rows = []
     for k in range(25):
