@@ -49,9 +49,14 @@ def frag_ord(fragment_id: Column) -> Column:
 
 
 def fragments_of(df: DataFrame) -> DataFrame:
-    """Rows of a fragments table, exact repetitions once, with their place."""
+    """Rows of a fragments table, exact repetitions once, with their place.
+
+    Repetitions are told by 128 bits of hash, so that texts travel only where they are asked for.
+    """
     f = df.filter("session_id IS NOT NULL AND entry_id IS NOT NULL AND frag_text IS NOT NULL").select(*FRAGMENT_COLUMNS)
-    return f.distinct().withColumn("frag_ord", frag_ord(F.col("fragment_id")))
+    f = f.withColumns({"__a": F.xxhash64(*FRAGMENT_COLUMNS), "__b": F.xxhash64(F.lit(7), *FRAGMENT_COLUMNS)})
+    f = f.dropDuplicates(["session_id", "entry_id", "__a", "__b"]).drop("__a", "__b")
+    return f.withColumn("frag_ord", frag_ord(F.col("fragment_id")))
 
 
 def index_text(limit: int = INDEXED_CHARS) -> Column:
