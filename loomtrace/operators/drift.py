@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import whole_groups
+from ..functions.batches import text_batches, whole_groups
 from ..functions.joins import salted_join
 from ..functions.jsonvalues import epoch_ms, json_type, parse_record, scalars, sketch, written
 
@@ -69,7 +69,7 @@ def profile(lines: DataFrame, baseline: Baseline, ref_field: str = "id") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, "raw_text", 8_000_000):
             rows = []
             for f, n, t in zip(*(b.column(c).to_pylist() for c in ("file_id", "line_no", "raw_text"))):
                 record = parse_record(t)
@@ -296,7 +296,7 @@ def unify(lines: DataFrame, baseline: Baseline, found: DataFrame, kind: str, sta
     ddl = ", ".join(["file_id long, line_no int, version string", *(f"`{x}` {d}" for x, (_, d) in types.items()), "foreign array<struct<name:string,text:string,stamp:string>>", "rest array<struct<name:string,text:string>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, "raw_text", 8_000_000):
             rows = []
             for f, n, raw in zip(*(b.column(x).to_pylist() for x in ("file_id", "line_no", "raw_text"))):
                 r = parse_record(raw)

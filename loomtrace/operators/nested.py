@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import text_batches
 from ..functions.jsonvalues import json_type, parse_record, scalars, written
 from .drift import Baseline, shape_of, version_of
 
@@ -181,7 +182,7 @@ def nodes(lines: DataFrame, baseline: Baseline, type_names: DataFrame | None = N
     base = baseline["entry"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, "raw_text", 8_000_000):
             rows: list[dict[str, Any]] = []
             for f, n, t in zip(*(b.column(c).to_pylist() for c in ("file_id", "line_no", "raw_text"))):
                 r = parse_record(t)

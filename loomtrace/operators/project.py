@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import text_batches
 from ..functions.jsonvalues import parse_record
 from ..sources.jsonl import Parsed, string_at, type_at
 from ..store import Store
@@ -220,7 +221,7 @@ def project(entries: DataFrame, searchable: frozenset[str] = frozenset()) -> Dat
     """The fragments, with full texts, of parsed entries (session_id, entry_id, raw_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, "raw_text", 8_000_000):
             rows = []
             for s, e, raw in zip(*(b.column(c).to_pylist() for c in ("session_id", "entry_id", "raw_text"))):
                 for i, f in enumerate(fragments(parse_record(raw) or {}, searchable)):

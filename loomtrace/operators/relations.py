@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import salted_join
@@ -129,6 +129,32 @@ def fork_edges(groups: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def first_of_each(df: DataFrame, key: list[str], order: list, n: int, spread: list[str], salts: int = 16) -> DataFrame:
+    """The first n rows of each key with their places (from 0): first of the parts that spread makes of it, then of what
+    these leave. So no task sorts all rows of a key."""
+    part = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    some = part.withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(*order))).filter(F.col("__i") <= n)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).filter(F.col("place") < n).drop("__salt", "__i")
+
+
+def fork_way_edges(groups: DataFrame, events: DataFrame, limit: int = 20) -> DataFrame:
+    """session_id, source_id, to_session, to_entry, detail, target_branch_state, leads_to_leaf: from each way on to up
+    to limit others of its group, the anchor's own session first, then by session and entry."""
+    key = ["at_session", "at_entry"]
+    g = groups.select(*key, "session_id", "entry_id")
+    order = [F.col("session_id") != F.col("at_session"), F.col("session_id"), F.col("entry_id")]
+    first = first_of_each(g, key, order, limit + 1, ["session_id", "entry_id"]).select(*key, F.col("session_id").alias("to_session"), F.col("entry_id").alias("to_entry"), "place")
+    mine = g.join(first.select(*key, F.col("to_session").alias("session_id"), F.col("to_entry").alias("entry_id"), F.col("place").alias("own")), [*key, "session_id", "entry_id"], "left")
+    e = salted_join(mine, first, key, ["session_id", "entry_id"])
+    e = e.filter((F.col("to_session") != F.col("session_id")) | (F.col("to_entry") != F.col("entry_id"))).filter(F.col("place") < limit + (F.coalesce("own", F.lit(limit + 1)) < limit).cast("int"))
+    state = events.select(F.col("session_id").alias("to_session"), F.col("entry_id").alias("to_entry"), "branch_state")
+    e = e.join(state, ["to_session", "to_entry"], "left")
+    return e.select(
+        "session_id", F.col("entry_id").alias("source_id"), "to_session", "to_entry", F.concat(F.lit("fork at "), "at_session", F.lit("/"), "at_entry").alias("detail"),
+        F.coalesce("branch_state", F.lit("unknown")).alias("target_branch_state"), F.coalesce(F.col("branch_state") == "selected", F.lit(False)).alias("leads_to_leaf"),
+    )
+
+
 def fork_receipts(groups: DataFrame, events: DataFrame) -> DataFrame:
     """session_id, at_session, at_entry, chosen_id: forks across sessions that a session's selected branch passes: the
     branch steps from the anchor to one of the group's ways on that lies in this session."""

@@ -62,12 +62,18 @@ def fork_trace_edges(spark: SparkSession, folder: str) -> DataFrame:
     return relations.fork_edges(relations.fork_groups(s, s.sessions), s.events)
 
 
+def fork_way_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """From each way on from a fork to the others."""
+    s = _hashed(spark, folder)
+    return relations.fork_way_edges(relations.fork_groups(s, s.sessions), s.events)
+
+
 def fork_receipts(spark: SparkSession, folder: str) -> DataFrame:
     s = _hashed(spark, folder)
     return relations.fork_receipts(relations.fork_groups(s, s.sessions), s.events)
 
 
-QUERIES = {f.__name__: f for f in (tool_result_for, file_edges, relationship_targets, session_lineage, session_lineage_scoped, fork_continuations, fork_groups, fork_trace_edges, fork_receipts)}
+QUERIES = {f.__name__: f for f in (tool_result_for, file_edges, relationship_targets, session_lineage, session_lineage_scoped, fork_continuations, fork_groups, fork_trace_edges, fork_way_edges, fork_receipts)}
 
 _RESULTS = """
 calls AS (
@@ -125,6 +131,13 @@ part AS (SELECT DISTINCT at_session, at_entry, session_id FROM g UNION SELECT DI
 SELECT p.session_id, p.at_entry AS source_id, g.session_id AS to_session, g.entry_id AS to_entry, 'fork at ' || g.at_session || '/' || g.at_entry AS detail,
   coalesce(v.branch_state, 'unknown') AS target_branch_state, coalesce(v.branch_state = 'selected', false) AS leads_to_leaf
 FROM part p JOIN g ON g.at_session = p.at_session AND g.at_entry = p.at_entry LEFT JOIN ev v ON v.session_id = g.session_id AND v.entry_id = g.entry_id""",
+    "fork_way_edges": f"""
+WITH RECURSIVE {STORE}, {STATES}, {_P}, {_FORKS},
+x AS (SELECT a.session_id, a.entry_id AS source_id, b.session_id AS to_session, b.entry_id AS to_entry, 'fork at ' || a.at_session || '/' || a.at_entry AS detail,
+    row_number() OVER (PARTITION BY a.at_session, a.at_entry, a.session_id, a.entry_id ORDER BY b.session_id <> b.at_session, b.session_id, b.entry_id) AS rn
+  FROM g a JOIN g b ON b.at_session = a.at_session AND b.at_entry = a.at_entry AND (b.session_id, b.entry_id) <> (a.session_id, a.entry_id))
+SELECT x.session_id, x.source_id, x.to_session, x.to_entry, x.detail, coalesce(v.branch_state, 'unknown') AS target_branch_state, coalesce(v.branch_state = 'selected', false) AS leads_to_leaf
+FROM x LEFT JOIN ev v ON v.session_id = x.to_session AND v.entry_id = x.to_entry WHERE rn <= 20""",
     "fork_receipts": f"""
 WITH RECURSIVE {STORE}, {STATES}, {_P}, {_FORKS}
 SELECT g.session_id, g.at_session, g.at_entry, g.entry_id AS chosen_id FROM g JOIN ev v ON v.session_id = g.session_id AND v.entry_id = g.at_entry AND v.next_id = g.entry_id AND v.branch_state = 'selected'""",

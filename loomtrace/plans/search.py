@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import frequency_sql, parse_query
 from ..functions.joins import salted_join
 from ..index import Index
-from ..operators.search import LIMIT, Request, cutoffs, lists, matches, search, statistics
+from ..operators.search import LIMIT, Execution, Request, cutoffs, lists, matches, search, statistics
 from ..session import scratch
 from ..store import Store, cached
 from .base import STATES, STORE, TOKENS, indexed, store
@@ -137,6 +137,34 @@ def matching_fragments(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("session_id", "fragment_id", F.col("tf_0").cast("long").alias("tf_0"), F.col("tf_1").cast("long").alias("tf_1"), F.round("score", 6).alias("score"))
 
 
+_AT = "2024-06-15T00:00:00.000Z"
+
+
+def _largest(s: Store) -> str:
+    return s.entries.groupBy("session_id").count().orderBy(F.col("count").desc(), "session_id").first()["session_id"]
+
+
+def search_session(spark: SparkSession, folder: str) -> DataFrame:
+    """A search within the largest session."""
+    s = indexed(spark, folder)
+    return search(s, Request("cursor", session_id=_largest(s)), limit=None).withColumn("score", F.round("score", 6))
+
+
+def search_current_session(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, asked by that session from its middle entry: only what comes before that."""
+    s = indexed(spark, folder)
+    sid = _largest(s)
+    own = s.entries.filter(F.col("session_id") == sid)
+    middle = own.filter(F.col("append_seq") == own.count() // 2).first()
+    return search(s, Request("cursor", session_id=sid), execution=Execution(sid, middle["entry_id"] if middle else None, _AT), limit=None).withColumn("score", F.round("score", 6))
+
+
+def search_other_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """A search by the largest session through all others."""
+    s = indexed(spark, folder)
+    return search(s, Request("stale cursor"), execution=Execution(_largest(s), None, _AT), limit=None).withColumn("score", F.round("score", 6))
+
+
 def _grown(spark: SparkSession, folder: str, how: str) -> DataFrame:
     """Hits of one request in an index that has been changed."""
     whole = cached(store(spark, folder))
@@ -182,7 +210,7 @@ def cutoff_current(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs(store(spark, folder).entries, "2024-07-01T00:00:00.000Z")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (search_scan, store_append, store_rebuild, store_remove, index_build, cutoff_current, bm25_corpus_stats, index_stats, document_frequency, matching_fragments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in REQUESTS} | {f.__name__: f for f in (search_scan, search_session, search_current_session, search_other_sessions, store_append, store_rebuild, store_remove, index_build, cutoff_current, bm25_corpus_stats, index_stats, document_frequency, matching_fragments)}
 SQL = {n: _sql(n) for n in REQUESTS} | {
     "bm25_corpus_stats": f"WITH {STORE}, {TOKENS} SELECT count(*) AS n, round(avg(len(tokens)), 6) AS mean, " + ", ".join(f"sum(({frequency_sql('tokens', s)} > 0)::INT)::BIGINT AS df_{i}" for i, s in enumerate(_SEQUENCES)) + " FROM k",
     "document_frequency": f"WITH {STORE}, {TOKENS}, x AS (SELECT row_number() OVER () AS i, tokens FROM k), u AS (SELECT i, unnest(tokens) AS token FROM x), g AS (SELECT i, token, count(*) AS tf FROM u GROUP BY ALL) SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM g GROUP BY token",
@@ -198,3 +226,9 @@ SQL["store_remove"] = SQL["search_all_hits"].replace("FROM fragments WHERE frag_
 SQL["index_build"] = f"WITH {STORE} SELECT semantic_kind, count(*) AS n FROM f GROUP BY 1"
 SQL["cutoff_current"] = f"WITH {STORE} SELECT session_id, coalesce(min(append_seq) FILTER (entry_ts >= '2024-07-01T00:00:00.000Z'), count(*)) AS cutoff FROM e GROUP BY 1"
 SQL["search_scan"], SQL["index_stats"] = SQL["search_terms"], SQL["bm25_corpus_stats"]
+_BIG = "(SELECT session_id FROM e GROUP BY 1 ORDER BY count(*) DESC, session_id LIMIT 1)"
+_CUT = f"(SELECT count(*) // 2 FROM e WHERE session_id = {_BIG})"
+REQUESTS["_cursor"] = (Request("cursor"), "/", None)
+SQL["search_session"] = _sql("_cursor").replace("WHERE tf_0 > 0", f"WHERE c.session_id = {_BIG} AND tf_0 > 0")
+SQL["search_current_session"] = _sql("_cursor").replace("WHERE tf_0 > 0", f"WHERE c.session_id = {_BIG} AND ev.append_seq < {_CUT} AND tf_0 > 0")
+SQL["search_other_sessions"] = SQL["search_all_hits"].replace("WHERE tf_0 > 0", f"WHERE c.session_id <> {_BIG} AND tf_0 > 0")
