@@ -23,7 +23,7 @@ REQUESTS: dict[str, tuple[Request, str, int | None]] = {
     "search_phrase_and_term": (Request('"explain the" watermark'), "/", None),
     "search_cjk": (Request("要約 解析"), "/", None),
     "search_cjk_phrase": (Request('"解析"'), "/", None),
-    "search_accents": (Request("zuruck seance"), "/", None),
+    "search_accents": (Request("resume"), "/", None),
     "search_accented_query": (Request("résumé"), "/", None),
     "search_separators": (Request("src/lockfile"), "/", None),
     "search_no_token": (Request("!!!"), "/", None),
