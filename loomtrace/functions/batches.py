@@ -7,6 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def gathered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df with all rows of a key in one partition, sorted by key and order, as whole_groups needs them.
+
+    The exchange is by a hash of the key. One by the key itself is dropped where a join by the key stands below, and
+    adaptive execution, which doesn't know that a task needs whole groups, may then read that join's exchange by its
+    writers (local reads beside a broadcast) or in parts (skew), so that groups come in pieces.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
 
 
 def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:

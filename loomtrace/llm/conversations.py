@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import group_starts, whole_groups
+from ..functions.batches import gathered, group_starts, whole_groups
 from ..functions.contraction import FREE, contract
 from ..operators.hierarchy import MAX_LOCAL, parent_rows, split_by_size
 from ..session import checkpointed
@@ -111,7 +111,7 @@ def walks(rows: DataFrame, key: str, node: str, parent: str, seq: str, turn: str
     """
     clean = df_rows(rows, key, node, parent, seq, turn)
     small, large = split_by_size(clean, max_local)
-    out = small.repartition("k").sortWithinPartitions("k", "seq", "v").mapInArrow(_local, _DDL)
+    out = gathered(small, "k", "seq", "v").mapInArrow(_local, _DDL)
     return out if large is None else out.unionByName(_doubled(large))
 
 

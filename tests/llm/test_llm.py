@@ -109,6 +109,18 @@ def test_the_walk_starts_at_the_greatest_number(spark, limit):
     assert {(r.k, r.v, r.back) for r in out if r.v is not None} == {("tie", "b", 0), ("ok", "b", 0), ("ok", "z", 1)}
 
 
+def test_small_groups_stay_whole_beside_a_large_one(spark):
+    rows = [(f"s{k}", f"n{i}", f"n{i - 1}" if i else None, i, 1 + i % 2) for k in range(40) for i in range(10)]
+    rows += [("large", f"n{i}", f"n{i - 1}" if i else None, i, 1 + i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v string, p string, seq long, turn int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows share one partition
+    try:
+        a, b = (sorted(tuple(r) for r in conversations.walks(df, "k", "v", "p", "seq", "turn", m).na.fill({"v": "", "back": -1, "turn": 0, "fault": "none"}).collect()) for m in (1000, 20))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert a == b and len(a) == len(rows) + 41
+
+
 # 7: personal information
 
 LEX = pii.Lexicon(frozenset(["nimol", "mark"]), frozenset(["kuquom", "branch", "page"]))
