@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import group_starts, whole_groups
+from ..functions.batches import gathered, group_starts, whole_groups
 from ..functions.contraction import FREE, contract
 from ..functions.joins import salted_join
 from ..session import checkpointed
@@ -139,12 +139,13 @@ def _rounds(nodes: DataFrame, max_local: int) -> DataFrame:
 def split_by_size(nodes: DataFrame, max_local: int) -> tuple[DataFrame, DataFrame | None]:
     """nodes (with k) of groups of at most max_local rows, and those of larger ones, None if there are none.
 
-    The names of the larger groups are few by definition (at most rows / max_local).
+    The names of the larger groups are few by definition (at most rows / max_local), so they are broadcast.
     """
     big = nodes.groupBy("k").count().filter(F.col("count") > max_local).select("k")
     big = checkpointed(big)
     if big.isEmpty():
         return nodes, None
+    big = F.broadcast(big)
     return nodes.join(big, "k", "left_anti"), nodes.join(big, "k", "left_semi")
 
 
@@ -163,7 +164,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, key: str | None = None, max
     nodes = nodes.filter("k IS NOT NULL AND v IS NOT NULL").groupBy("k", "v").agg(F.max("p").alias("p"))
     nodes = checkpointed(nodes)
     small, large = split_by_size(nodes, max_local)
-    out = small.repartition("k").sortWithinPartitions("k").mapInArrow(_local, SCHEMA)
+    out = gathered(small, "k").mapInArrow(_local, SCHEMA)
     return out if large is None else out.unionByName(_rounds(large, max_local))
 
 
@@ -197,7 +198,7 @@ def ancestors(df: DataFrame, node: str, parent: str, key: str | None = None, max
     h = hierarchy(df, node, parent, key, max_local).filter("state = 'free'").select("k", "v", F.when(~F.col("dead"), F.col("p")).alias("p"))
     h = checkpointed(h)
     small, large = split_by_size(h, max_local)
-    out = small.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs, "k string, v string, ancestor string, distance long")
+    out = gathered(small, "k").mapInArrow(_pairs, "k string, v string, ancestor string, distance long")
     if large is None:
         return out
     own = large.select("k", "v", F.col("v").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
@@ -289,7 +290,7 @@ def spans(df: DataFrame, node: str, parent: str, key: str | None = None, max_loc
     h = hierarchy(df, node, parent, key, max_local).filter("state = 'free'").select("k", "v", F.when(~F.col("dead"), F.col("p")).alias("p"), "root")
     h = checkpointed(h)
     small, large = split_by_size(h, max_local)
-    out = small.select("k", "v", "p").repartition("k").sortWithinPartitions("k").mapInArrow(_spans, _SPAN)
+    out = gathered(small.select("k", "v", "p"), "k").mapInArrow(_spans, _SPAN)
     return out if large is None else out.unionByName(_toured(large))
 
 

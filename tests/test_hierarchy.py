@@ -86,6 +86,23 @@ def test_large_groups_as_small_ones(spark, seed):
     assert all(((v, up) in above) == (at[v][0] == at[up][0] and at[up][1] < at[v][1] <= at[up][2]) for v in at for up in at)
 
 
+def test_small_groups_stay_whole_beside_a_large_one(spark):
+    rows = [(f"g{k}", f"n{i}", f"n{i - 1}" if i else None) for k in range(40) for i in range(10)]
+    rows += [("large", f"n{i}", f"n{i - 1}" if i else None) for i in range(60)]
+    rows += [("g0", "x", "y"), ("g0", "y", "x"), ("g0", "z", "x"), ("g1", "x", "gone")]
+    df = spark.createDataFrame(rows, "k string, node string, up string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows share one partition
+    try:
+        a, b = ({tuple(r) for r in hierarchy(df, "node", "up", "k", m).collect()} for m in (1000, 20))
+        c, d = ({tuple(r) for r in ancestors(df, "node", "up", "k", m).collect()} for m in (1000, 20))
+        e, f = ({tuple(r) for r in spans(df, "node", "up", "k", m).collect()} for m in (1000, 20))
+        bad = {(r.k, r.v, r.link_state) for r in link_states(hierarchy(df, "node", "up", "k", 20)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert a == b and c == d and e == f
+    assert bad == {("g0", "x", "cycle"), ("g0", "y", "cycle"), ("g0", "z", "to_cycle"), ("g1", "x", "dangling")}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, node string, up string")
     assert hierarchy(df, "node", "up", "k").collect() == []
